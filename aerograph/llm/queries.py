@@ -8,9 +8,10 @@ import importlib
 QUERIES = {
     "op1_media_columns": "media",
     "op7_pii": "pii",
+    "op9_near_dedup": "dedup",
     "op10_url_filters": "urls",
 }
-SQL = {"op10_url_filters": ("urls", "OP10_SQL")}
+SQL = {"op9_near_dedup": ("dedup", "OP9_SQL"), "op10_url_filters": ("urls", "OP10_SQL")}
 
 
 def module(name: str):
