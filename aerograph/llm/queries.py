@@ -7,6 +7,7 @@ import importlib
 #: Query name to module and function of this subpackage.
 QUERIES = {
     "op1_media_columns": "media",
+    "op3_toxicity": "toxicity",
     "op7_pii": "pii",
     "op9_near_dedup": "dedup",
     "op10_url_filters": "urls",
