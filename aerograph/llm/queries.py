@@ -7,12 +7,13 @@ import importlib
 #: Query name to module and function of this subpackage.
 QUERIES = {
     "op1_media_columns": "media",
+    "op2_license_scan": "licenses",
     "op3_toxicity": "toxicity",
     "op7_pii": "pii",
     "op9_near_dedup": "dedup",
     "op10_url_filters": "urls",
 }
-SQL = {"op9_near_dedup": ("dedup", "OP9_SQL"), "op10_url_filters": ("urls", "OP10_SQL")}
+SQL = {"op2_license_scan": ("licenses", "OP2_SQL"), "op9_near_dedup": ("dedup", "OP9_SQL"), "op10_url_filters": ("urls", "OP10_SQL")}
 
 
 def module(name: str):
