@@ -71,7 +71,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """Maps words to 64-bit hashes through a table that is emptied when it grows past ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         self.limit, self.ids, self.values = limit, {}, np.zeros(1024, np.uint64)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:

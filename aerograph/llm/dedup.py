@@ -65,7 +65,7 @@ def set_id(values: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63)
 
 
-def parts(texts: list[bytes], most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def parts(texts: list[bytes], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` bytes, so that a batch of long texts takes bounded memory."""
     start = total = 0
     for i, t in enumerate(texts):
