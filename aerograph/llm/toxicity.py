@@ -135,23 +135,6 @@ def prefixes(word: bytes) -> list[bytes]:
     return [word[:k] for k in PREFIXES if k < len(word)] or [word]
 
 
-def word_rates(rows: list[tuple[bytes, int, int]], base: float) -> tuple[dict[bytes, float], dict[bytes, float]]:
-    """(rate of each word, rate of each prefix) from (word, texts, toxic texts)."""
-    types, toxic = Counter(), Counter()
-    for word, n, k in rows:
-        for p in prefixes(word):
-            types[p] += 1
-            toxic[p] += 2 * k > n
-    stems: dict[bytes, float] = {}
-    for p in sorted(types, key=len):
-        up = stems.get(p[:-1], base)
-        stems[p] = (toxic[p] + 2 * up) / (types[p] + 2)
-    words = {}
-    for word, n, k in rows:
-        words[word] = (k + SMOOTH * stems[prefixes(word)[-1]]) / (n + SMOOTH)
-    return words, stems
-
-
 class Scorer:
     def __init__(self, words: dict[bytes, float], stems: dict[bytes, float], base: float):
         self.words, self.stems, self.base = words, stems, base
@@ -179,8 +162,8 @@ def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def lexicon(rows: DataFrame, model: np.ndarray, explained: Scorer | None) -> tuple[dict[bytes, float], dict[bytes, float], float]:
     """Word rates, stem rates and the toxic share of the rows that ``explained`` does not flag.
 
-    Only words are collected whose first bytes head toxic words or toxic stems; they
-    come from labelled rows alone, so MAX_LABELLED bounds them.
+    Rates of .5 and more are collected, and the words that are exceptions to such a
+    stem; they come from labelled rows alone, so MAX_LABELLED bounds them.
     """
 
     def step(batch: pa.RecordBatch) -> dict:
@@ -198,13 +181,15 @@ def lexicon(rows: DataFrame, model: np.ndarray, explained: Scorer | None) -> tup
     words = cut(over_batches(rows.select("text", "toxic"), "word binary, n long, k long", step).groupBy("word").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "words")
     every = words.filter(F.octet_length("word") == 0).first()
     base = ((every["k"] if every else 0) + 0.5) / ((every["n"] if every else 0) + 5)
-    words = words.filter(F.octet_length("word") > 0).withColumn("root", F.substring("word", 1, 4))
+    words = words.filter(F.octet_length("word") > 0)
     heads = F.array(*(F.when(F.octet_length("word") > k, F.substring("word", 1, k)) for k in PREFIXES))
-    stems = words.select("root", (2 * F.col("k") > F.col("n")).cast("int").alias("t"), F.explode(heads).alias("p")).filter("p IS NOT NULL")
-    stems = stems.groupBy("root", "p").agg(F.count("*").alias("types"), F.sum("t").alias("t")).filter("types >= 4 AND 2 * t > types").select("root")
-    roots = words.filter("n >= 3 AND 2 * k > n").select("root").union(stems).distinct()
-    kept = [(bytes(r["word"]), r["n"], r["k"]) for r in words.join(roots, "root", "left_semi").select("word", "n", "k").collect()]
-    return *word_rates(kept, base), base
+    stems = words.select((2 * F.col("k") > F.col("n")).cast("int").alias("t"), F.explode(heads).alias("stem")).filter("stem IS NOT NULL").groupBy("stem").agg(((F.sum("t") + 2 * base) / (F.count("*") + 2)).alias("rate"))
+    stems = cut(stems.filter("rate >= 0.5"), "stems")
+    own = (F.col("k") + SMOOTH * F.coalesce("rate", F.lit(base))) / (F.col("n") + SMOOTH)
+    under = words.withColumn("stem", F.explode(heads)).join(stems, "stem").groupBy("word").agg(F.max_by("rate", F.octet_length("stem")).alias("rate"))
+    known = words.filter("2 * k > n").join(under, "word", "left").unionByName(words.filter("2 * k <= n").join(under, "word"))
+    known = known.select("word", own.alias("p"), F.col("rate").isNotNull().alias("stemmed")).filter("p >= 0.5 OR stemmed").toPandas()
+    return dict(zip(map(bytes, known["word"]), known["p"])), {bytes(r["stem"]): r["rate"] for r in stems.collect()}, base
 
 
 def train(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Scorer]:
