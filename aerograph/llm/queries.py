@@ -9,6 +9,7 @@ QUERIES = {
     "op1_media_columns": "media",
     "op2_license_scan": "licenses",
     "op3_toxicity": "toxicity",
+    "op6_decontamination": "decontam",
     "op7_pii": "pii",
     "op9_near_dedup": "dedup",
     "op10_url_filters": "urls",
