@@ -11,6 +11,7 @@ QUERIES = {
     "op3_toxicity": "toxicity",
     "op6_decontamination": "decontam",
     "op7_pii": "pii",
+    "op8_mixing": "mixing",
     "op9_near_dedup": "dedup",
     "op10_url_filters": "urls",
 }
