@@ -9,6 +9,7 @@ QUERIES = {
     "op1_media_columns": "media",
     "op2_license_scan": "licenses",
     "op3_toxicity": "toxicity",
+    "op4_ctw": "ctw",
     "op5_token_counts": "tokencounts",
     "op6_decontamination": "decontam",
     "op7_pii": "pii",
