@@ -25,8 +25,13 @@ def module(name: str):
 
 
 def queries() -> dict:
-    return {name: getattr(module(m), name) for name, m in QUERIES.items()}
+    import corpus_pipeline
+
+    return {name: getattr(module(m), name) for name, m in QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: getattr(module(m), attr) for name, (m, attr) in SQL.items()}
+    import corpus_pipeline
+
+    found = {name: getattr(module(m), attr) for name, (m, attr) in SQL.items()}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
