@@ -55,7 +55,7 @@ def adaptive_thresholds(df: DataFrame, key: str, order: list[str], tile_m, alpha
     out = gathered.select(key, F.explode(F.aggregate("s", start, step)["out"]).alias("r")).select(key, "r.*")
     novelty = F.greatest(F.lit(DEFAULT.min_novelty), 0.5 * F.col("ema_m") / tile_m)
     level = F.greatest(F.lit(DEFAULT.threshold_low), F.least(F.lit(DEFAULT.threshold_high), 1 - novelty))
-    return out.withColumn("threshold", F.coalesce(level, F.lit(DEFAULT.initial_threshold)))
+    return out.withColumn("threshold", F.when(F.col("ema_m").isNull(), F.lit(DEFAULT.initial_threshold)).otherwise(level))
 
 
 def islands(df: DataFrame, key: str, frame: str) -> DataFrame:

@@ -1 +1,124 @@
-"""Queries."""
+"""Queries over texts, sources and the catalogue."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from aerograph.functions import scalar as S
+from aerograph.operators import catalog as C
+from aerograph.plans import relations as rel
+from aerograph.plans.registry import query
+from aerograph.sources import telemetry as T
+
+
+@query("""SELECT conv_id, turn, regexp_matches(lower(text), 'unusual|anomaly|anomalies|out of place|doesn''t belong|foreign|discoloured|discolored|shouldn''t be there|not supposed to|unexpected') AS is_anomaly, length(text) AS n FROM conversations""")
+def intent_keywords(spark, d):
+    c = rel.read(spark, d, "conversations")
+    return c.select("conv_id", "turn", S.any_phrase("text").alias("is_anomaly"), F.length("text").cast("long").alias("n"))
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_id % 4 <> 3 AS parsed FROM events WHERE event_id % 4 <> 3 UNION ALL SELECT event_id, -1, false FROM events WHERE event_id % 4 = 3""")
+def json_reply_parse(spark, d):
+    e, n = rel.read(spark, d, "events"), F.col("event_id") % 4
+    reply = F.when(n == 0, F.col("props")).when(n == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(n == 2, F.concat(F.lit("> "), "props")).otherwise(F.lit("sorry, no"))
+    j = F.from_json(S.strip_fence(reply), "k int")
+    return e.select("event_id", F.coalesce(j["k"], F.lit(-1)).alias("k"), F.coalesce(j["k"].isNotNull(), F.lit(False)).alias("parsed"))
+
+
+SRT_SQL = f"""WITH {rel.TELEMETRY} SELECT stream_id, CAST(frame_seq - 1 AS INTEGER) AS idx, (frame_seq - 1) * 100 AS timestamp_ms, round(lat, 6) AS lat, round(lon, 6) AS lon, round(alt_m, 3) AS alt_m, round(pitch, 1) AS gimbal_pitch, round(yaw, 1) AS gimbal_yaw FROM telemetry"""
+
+
+@query(SRT_SQL)
+def srt_parse(spark, d):
+    t = rel.telemetry(spark, d).withColumn("t", (F.col("frame_seq") - 1) * 100).withColumnsRenamed({"pitch": "gimbal_pitch", "yaw": "gimbal_yaw"}).withColumn("gimbal_roll", F.lit(0.0))
+    p = T.parse_srt(T.write_srt(t, "t"))
+    return p.select("stream_id", F.col("index").alias("idx"), "timestamp_ms", *(F.round(c, n).alias(c) for c, n in (("lat", 6), ("lon", 6), ("alt_m", 3), ("gimbal_pitch", 1), ("gimbal_yaw", 1))))
+
+
+@query(f"WITH {rel.MISSIONS}, a AS (SELECT *, row_number() OVER (ORDER BY last_accessed DESC NULLS LAST, created_at DESC, id) AS pos FROM missions WHERE status <> 'archived') SELECT id, name, status FROM a WHERE pos <= 200")
+def mission_listing(spark, d):
+    return C.active(rel.missions(spark, d)).limit(200).select("id", "name", "status")
+
+
+@query(f"WITH {rel.MISSIONS} SELECT id, list_contains(allowed_intents, 'motion_detection') AS motion FROM missions WHERE status <> 'archived'")
+def mission_intents(spark, d):
+    return rel.missions(spark, d).filter("status <> 'archived'").select("id", C.allows("allowed_intents", "motion_detection").alias("motion"))
+
+
+@query(f"WITH {rel.MISSIONS} SELECT id, CASE WHEN id % 11 = 0 THEN 'archived' ELSE status END AS status, CASE WHEN id % 11 = 0 THEN 0 ELSE tile_count END AS tile_count FROM missions")
+def mission_update(spark, d):
+    return C.update(rel.missions(spark, d), F.col("id") % 11 == 0, status="archived", tile_count=F.lit(0).cast("long"), name=None).select("id", "status", "tile_count")
+
+
+@query(f"WITH {rel.MISSIONS}, n AS (SELECT id, 'new' AS value FROM missions WHERE id % 5 = 0) SELECT id, 'old' AS value FROM missions WHERE id % 2 = 0 AND id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n")
+def state_replace(spark, d):
+    m = rel.missions(spark, d)
+    old = m.filter("id % 2 = 0").select("id", F.lit("old").alias("value"))
+    return C.replace_rows(old, m.filter("id % 5 = 0").select("id", F.lit("new").alias("value")), ["id"])
+
+
+@query(f"""WITH {rel.MISSIONS} SELECT id, substr(regexp_replace(regexp_replace(lower(regexp_replace(trim(name), '[^A-Za-z0-9_-]', '_', 'g')), '_+', '_', 'g'), '^_|_$', '', 'g'), 1, 32) || '_' || substr(CAST(id AS VARCHAR), 1, 8) AS folder FROM missions""")
+def mission_folder(spark, d):
+    return rel.missions(spark, d).select("id", S.slug("name", "id").alias("folder"))
+
+
+@query("""SELECT event_id, printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS timecode, ms AS back, printf('%d:%02d', ms // 60000, ms // 1000 % 60) AS clock FROM (SELECT event_id, event_id * 12347 AS ms FROM events)""")
+def timecodes(spark, d):
+    e = rel.read(spark, d, "events").select("event_id", (F.col("event_id") * 12347).alias("ms"))
+    return e.select("event_id", S.ms_timecode("ms").alias("timecode"), S.timecode_ms(S.ms_timecode("ms")).alias("back"), S.minutes_seconds(F.floor(F.col("ms") / 1000)).alias("clock"))
+
+
+COLOURS = "['" + "', '".join(S.COLOURS) + "']"
+
+
+@query(f"""SELECT event_id, {COLOURS}[event_id % 8 + 1] AS colour, CASE WHEN value / 500 >= 0.85 THEN 'green' WHEN value / 500 >= 0.6 THEN 'orange' ELSE 'red' END AS level, regexp_replace(split_part('a/b/img_' || event_id || '.tile.jpg', '/', 3), '\\.[^.]*$', '') AS stem FROM events""")
+def label_functions(spark, d):
+    e = rel.read(spark, d, "events")
+    path = F.concat(F.lit("a/b/img_"), F.col("event_id").cast("string"), F.lit(".tile.jpg"))
+    return e.select("event_id", S.colour_of("event_id").alias("colour"), S.confidence_colour(F.col("value") / 500).alias("level"), S.stem(path).alias("stem"))
+
+
+@query(f"""WITH {rel.MISSIONS} SELECT id, CASE WHEN gap = 0 THEN 'today' WHEN gap = 1 THEN 'yesterday' ELSE strftime(created_at, '%b %d') END AS label FROM (SELECT id, created_at, date_diff('day', created_at, (SELECT max(created_at) FROM missions)) AS gap FROM missions)""")
+def mission_dates(spark, d):
+    m = rel.missions(spark, d)
+    last = m.agg(F.max("created_at")).first()[0]
+    return m.select("id", S.relative_date("created_at", F.lit(last)).alias("label"))
+
+
+@query("""SELECT event_id, ordinal, 32.0 + event_id % 7 AS lat, round(34 + ordinal / 10.0, 4) AS lon, ['red', 'blue'][ordinal + 1] AS colour, CASE WHEN ordinal = 0 THEN 1.0 ELSE 2.5 END AS radius_m FROM events, (SELECT unnest([0, 1]) AS ordinal)""")
+def object_specs(spark, d):
+    n = (F.lit(32.0) + F.col("event_id") % 7).cast("string")
+    spec = F.concat(n, F.lit(",34.0,red; "), n, F.lit(",34.1,blue,2.5;bad,1;"))
+    p = T.parse_objects(rel.read(spark, d, "events").select("event_id", spec.alias("spec")))
+    return p.select("event_id", "ordinal", "lat", F.round("lon", 4).alias("lon"), "colour", "radius_m")
+
+
+@query("""SELECT event_id, 32.5 AS lat, value AS alt_m, -90.0 AS gimbal_pitch FROM events WHERE event_id % 3 <> 0""")
+def exif_records(spark, d):
+    e = rel.read(spark, d, "events")
+    good = F.concat(F.lit('[{"GPSLatitude": 32.5, "GPSLongitude": "34.8", "GPSAltitude": 9, "AbsoluteAltitude": '), F.col("value").cast("string"), F.lit('}]'))
+    text = F.when(F.col("event_id") % 3 == 0, '[{"GPSLatitude": 32.5}]').otherwise(good)
+    return T.parse_exif_json(e.select("event_id", text.alias("text"))).select("event_id", "lat", "alt_m", "gimbal_pitch")
+
+
+@query("""SELECT event_id, f AS frame_name, CASE WHEN f = 'b.jpg' THEN NULL ELSE 32.25 END AS lat, value AS z, 4000 AS img_w_px FROM events, (SELECT unnest(['a.jpg', 'b.jpg']) AS f)""")
+def pose_metadata(spark, d):
+    v = F.col("value").cast("string")
+    text = F.concat(F.lit('{"b.jpg": {"full_path": "/x/b.jpg", "lat": 0.0, "lon": 0.0, "alt_m": '), v, F.lit('}, "a.jpg": {"lat": 32.25, "lon": 34.8, "z": '), v, F.lit("}}"))
+    p = T.parse_pose_json(rel.read(spark, d, "events").select("event_id", text.alias("text")))
+    return p.select("event_id", "frame_name", "lat", "z", "img_w_px")
+
+
+@query("""SELECT event_id, value AS rel_alt, -45.5 AS gimbal_pitch FROM events""")
+def xmp_attributes(spark, d):
+    text = F.concat(F.lit('ÿ<x drone:RelativeAltitude="+'), F.col("value").cast("string"), F.lit('" drone:GimbalPitchDegree="-45.5"/>'))
+    p = T.parse_xmp(rel.read(spark, d, "events").select("event_id", F.encode(text, "ISO-8859-1").alias("content")))
+    return p.select("event_id", "rel_alt", "gimbal_pitch")
+
+
+@query("""SELECT event_id, 10.0 AS north, 9.0 AS south, round(event_id / 1000.0, 6) AS west FROM events""")
+def world_file_bounds(spark, d):
+    n = F.col("event_id")
+    text = F.concat_ws("\n", F.lit("0.001"), F.lit("0"), F.lit("0"), F.lit("-0.001"), F.format_string("%.4f", n / 1000.0 + 0.0005), F.lit("9.9995"))
+    p = T.world_file(rel.read(spark, d, "events").select("event_id", text.alias("text")).filter(F.col("event_id") >= 0))
+    return p.select("event_id", F.round("north", 6).alias("north"), F.round("south", 6).alias("south"), F.round("west", 6).alias("west"))

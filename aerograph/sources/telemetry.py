@@ -113,7 +113,7 @@ def parse_objects(df: DataFrame, spec: str = "spec", radius: float = 1.0) -> Dat
 
 def write_srt(df: DataFrame, order: str = "timestamp_ms", key: str = "stream_id") -> DataFrame:
     """(key, text): SRT files of the gimbal dialect, one per series."""
-    number = lambda c, d: F.format_number(F.col(c), f"0.{'0' * d}")
+    number = lambda c, d: F.call_function("format_number", F.col(c), F.lit(f"0.{'0' * d}"))
     line = F.concat(
         F.lit("[latitude: "), number("lat", 6), F.lit("] [longitude: "), number("lon", 6), F.lit("] [altitude: "), number("alt_m", 3),
         F.lit("] [gb_yaw: "), number("gimbal_yaw", 1), F.lit("] [gb_pitch: "), number("gimbal_pitch", 1), F.lit("] [gb_roll: "), number("gimbal_roll", 1), F.lit("]"),
