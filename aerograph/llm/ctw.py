@@ -11,9 +11,9 @@ gives its weight back to its parent. A text is scored with an end byte (0), from
 context of zeros; its code length per byte is ``-score / log10(2) / (n_bytes + 1)``.
 
 All training texts are counted. The model that workers hold is bounded: of each order the
-``MAX_RUNS`` most frequent byte runs (cut at a count, so ties stay out together) keep
-nodes of their own, and what was cut stays in the counts of the shorter contexts and, as one unseen
-child, in the weights. The base score needs the count of every word: the
+most frequent contexts keep nodes of their own, as many as have ``MAX_RUNS`` byte runs together
+(cut at a count, so ties stay out together), and what was cut stays in the counts of the shorter
+contexts and, as one unseen child, in the weights. The base score needs the count of every word: the
 ``MAX_WORDS`` most frequent are shipped, and all other words of a text are looked up by
 a join on their hash, so no word is lost. Words are told apart by 64-bit hashes.
 
@@ -30,13 +30,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import blobs, crc32_mod, cut, over_batches, table
 
 DEPTH = 5
-MAX_RUNS = 1 << 19
-MAX_WORDS = 1 << 19
+MAX_RUNS = 1 << 18
+MAX_WORDS = 1 << 18
 END = b" "  # no word holds a space
 PART = 2_000_000  # bytes worked on at once
 U8 = np.uint64(8)
@@ -113,19 +114,19 @@ def counted(documents: DataFrame) -> DataFrame:
 
 
 def most_frequent(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys ascending, counts) of the rows (key, n) whose count is above the least cut that keeps at most ``most``."""
-    bins = F.floor(F.log2("n") * 16).cast("int")  # counts below 2 ** 63 make at most 1008 bins
+    """(keys ascending as signed numbers, counts) of the rows (key, n, rank): those whose rank is above the least cut that keeps at most ``most``."""
+    bins = F.floor(F.log2("rank") * 16).cast("int")  # counts below 2 ** 63 make at most 1008 bins
     held, least = 0, None
     for r in sorted(rows.groupBy(bins.alias("bin")).count().collect(), reverse=True):
         if held + r["count"] > most:
             break
         held, least = held + r["count"], r["bin"]
     if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    kept = rows.filter(bins >= least).select("key", "n").toPandas()
-    keys = kept["key"].to_numpy(np.int64).astype(np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kept = rows.filter(bins >= least).select("key", "n").toArrow()
+    keys, counts = (kept.column(c).to_numpy() for c in ("key", "n"))
     order = np.argsort(keys)
-    return keys[order], kept["n"].to_numpy(np.int64)[order]
+    return keys[order], counts[order]
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -225,16 +226,21 @@ def shorter(runs: DataFrame, depth: int) -> DataFrame:
     return runs.groupBy(F.expr(f"(shiftright(key, {8 * (DEPTH + 1 - depth)}) << 8) | (key & 255)").alias("key")).agg(F.sum("n").alias("n"))
 
 
+def frequent_runs(runs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of the most frequent contexts; a context's runs (256 at most) are kept or cut together."""
+    whole = W.partitionBy(F.shiftright("key", 8))
+    keys, counts = most_frequent(runs.withColumn("rank", F.sum("n").over(whole)), MAX_RUNS)
+    return keys.astype(np.uint64), counts
+
+
 def train(documents: DataFrame) -> tuple[Tree, dict, DataFrame]:
     """(tree, the frequent words' keys, counts, N and V; the counts of all words) from documents (text, train)."""
     stats = cut(counted(documents), "counts")
     words, runs = stats.filter("kind = 0").select("key", "n"), stats.filter("kind = 1").select("key", "n")
-    tree = Tree([most_frequent(shorter(runs, depth), MAX_RUNS) for depth in range(DEPTH + 1)])
+    tree = Tree([frequent_runs(shorter(runs, depth)) for depth in range(DEPTH + 1)])
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    keys, counts = most_frequent(words, MAX_WORDS)
-    signed = keys.astype(np.int64)
-    order = np.argsort(signed)
-    return tree, {"keys": signed[order], "counts": counts[order], "n": totals["n"], "v": totals["v"]}, words
+    keys, counts = most_frequent(words.withColumn("rank", F.col("n")), MAX_WORDS)
+    return tree, {"keys": keys, "counts": counts, "n": totals["n"], "v": totals["v"]}, words
 
 
 def language_model_scores(documents: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2) -> DataFrame:
