@@ -18,12 +18,12 @@ a AS (SELECT q.*, s.ts_ms AS t0, s.lat AS lat0, s.lon AS lon0, s.alt_m AS alt0 F
 b AS (SELECT a.*, s.ts_ms AS t1, s.lat AS lat1, s.lon AS lon1, s.alt_m AS alt1 FROM a ASOF LEFT JOIN s ON a.stream_id = s.stream_id AND a.ts_ms <= s.ts_ms),
 c AS (SELECT event_id, ts_ms, coalesce(t0, t1) AS t0, coalesce(lat0, lat1) AS lat0, coalesce(lon0, lon1) AS lon0, coalesce(alt0, alt1) AS alt0, coalesce(t1, t0) AS t1, coalesce(lat1, lat0) AS lat1, coalesce(lon1, lon0) AS lon1, coalesce(alt1, alt0) AS alt1 FROM b),
 w AS (SELECT *, CASE WHEN t1 > t0 THEN (ts_ms - t0) / CAST(t1 - t0 AS DOUBLE) ELSE 0 END AS f FROM c)
-SELECT event_id, round(lat0 + f * (lat1 - lat0), 6) AS lat, round(lon0 + f * (lon1 - lon0), 6) AS lon, round(alt0 + f * (alt1 - alt0), 10) AS alt_m FROM w""")
+SELECT event_id, round(lat0 + f * (lat1 - lat0), 6) AS lat, round(lon0 + f * (lon1 - lon0), 6) AS lon FROM w""")
 def telemetry_interpolate(spark, d):
     t = rel.telemetry(spark, d)
     s, q = t.filter("event_type <> 'click'"), t.filter("event_type = 'click'").select("event_id", "stream_id", "ts_ms")
     out = T.interpolate(s, q, "stream_id", "ts_ms", ["lat", "lon", "alt_m"])
-    return out.select("event_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("alt_m", 10).alias("alt_m"))
+    return out.select("event_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
 @query(f"""WITH {rel.TELEMETRY}, p AS (SELECT *, row_number() OVER w AS rn, (ts_ms - lag(ts_ms) OVER w) / 1000.0 AS dt, lag(lat) OVER w AS a, lag(lon) OVER w AS b FROM telemetry WINDOW w AS (PARTITION BY stream_id ORDER BY ts_ms, event_id)),
