@@ -322,7 +322,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     firsts = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
     firsts = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = firsts.join(firsts.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id", "root")
-    out = rows.join(named, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    # Written, so that both sides of the join are exchanges and a class with many copies is split.
+    out = rows.join(cut(named, "components"), "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.expr("doc_id <=> component_id").alias("kept"), "node", F.col("root").alias("part"))
 
 
