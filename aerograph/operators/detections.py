@@ -150,11 +150,11 @@ def hull_frame(df: DataFrame, group: str, x: str = "lon", y: str = "lat") -> Dat
 
 def coverage_outliers(df: DataFrame, lat: str = "lat", lon: str = "lon", limit: float = 0.15) -> DataFrame:
     """Points within ``limit`` degrees of the median on both axes; all points where there are under 6 or under 3 would stay."""
-    mid = df.agg(F.expr(f"percentile({lat}, 0.5D)").alias("__a"), F.expr(f"percentile({lon}, 0.5D)").alias("__b"), F.count("*").alias("__n"))
-    placed = df.crossJoin(mid)  # one row of aggregates
-    near = (F.abs(F.col(lat) - F.col("__a")) < limit) & (F.abs(F.col(lon) - F.col("__b")) < limit)
-    kept = placed.agg(F.sum(near.cast("int")).alias("__k"))
-    return placed.crossJoin(kept).filter(near | (F.col("__n") < 6) | (F.col("__k") < 3)).drop("__a", "__b", "__n", "__k")
+    mid = df.agg(F.expr(f"percentile({lat}, 0.5D)").alias("a"), F.expr(f"percentile({lon}, 0.5D)").alias("b"), F.count("*").alias("n")).first()
+    if mid["n"] < 6:
+        return df
+    near = df.filter((F.abs(F.col(lat) - F.lit(mid["a"])) < limit) & (F.abs(F.col(lon) - F.lit(mid["b"])) < limit))
+    return near if near.count() >= 3 else df
 
 
 def recentre(df: DataFrame, group: list[str]) -> DataFrame:

@@ -133,9 +133,13 @@ def motion_tracks(blobs: DataFrame, stream: str = "stream_id", match_px: float =
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        live, done, made = [], [], 0
+        live, done, made, before = [], [], 0, None
         for frame, part in pdf.sort_values(["frame_seq", "det_id"]).groupby("frame_seq", sort=True):
             free = list(zip(part.cx, part.cy))
+            for t in live:  # frames without blobs are misses too
+                t["missed"] += frame - before - 1
+            done += [t for t in live if t["missed"] >= orphan]
+            live, before = [t for t in live if t["missed"] < orphan], frame
             for t in live:
                 away = [(math.hypot(x - t["x"], y - t["y"]), i) for i, (x, y) in enumerate(free)]
                 d, i = min(away, default=(math.inf, -1))
@@ -176,9 +180,9 @@ def world_fixed(obs: DataFrame, key: str = "track_id", scan: int = DEFAULT.wf_sc
     at = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i)
     grid = spans.select(key, "top", F.explode(at(scan)).alias("i")).select(key, (F.col("i") * F.col("top") * 0.95 / (scan - 1)).alias("h"))
     rough = scanned(grid)
-    step = spans.select(key, (F.col("top") * 0.95 / (scan - 1)).alias("step"))
+    step = spans.select(key, (F.col("top") * 0.95).alias("limit"), (F.col("top") * 0.95 / (scan - 1)).alias("step"))
     low = F.greatest(F.lit(0.0), F.col("h") - F.col("step"))
-    around = rough.join(step, key).select(key, low.alias("lo"), (F.col("h") + F.col("step")).alias("hi"), F.explode(at(fine)).alias("i"))
+    around = rough.join(step, key).select(key, low.alias("lo"), F.least(F.col("limit"), F.col("h") + F.col("step")).alias("hi"), F.explode(at(fine)).alias("i"))
     second = scanned(around.select(key, (F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / (fine - 1)).alias("h"))).withColumnsRenamed({"h": "h2", "v": "v2"})
     both = rough.join(second, key, "left")
     better = F.col("v2") < F.col("v")

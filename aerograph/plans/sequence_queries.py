@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from aerograph.functions import geo as G
 from aerograph.functions import scalar as S
 from aerograph.operators import geometry as O
+from aerograph.operators import motion as M
 from aerograph.operators import sequences as T
 from aerograph.plans import relations as rel
 from aerograph.plans.registry import query
@@ -87,6 +88,17 @@ def motion_tracks(spark, d):
     return T.motion_tracks(b.filter("cx < 5600"), match_px=6000.0)
 
 
+@query()
+def motion_process(spark, d):
+    """Ten streams with one target each, which moves five pixels a frame over a level scene."""
+    e = rel.read(spark, d, "events").filter("event_id < 1000").select((F.col("event_id") % 10).alias("stream_id"), F.col("event_id").alias("det_id"), F.floor(F.col("event_id") / 10).alias("frame_seq"))
+    blobs = e.withColumns({"cx": F.col("frame_seq") * 5 + 40.0, "cy": F.lit(240.0)})
+    level = {"lat": 32.0, "alt_m": 80.0, "pitch": -90.0, "yaw": 0.0, "dx": 0.0, "dy": 0.0}
+    frames = e.select("stream_id", "frame_seq", *(F.lit(v).cast("double").alias(k) for k, v in level.items()), F.lit(640).alias("img_w"), F.lit(480).alias("img_h"))
+    out = M.motion_process(blobs, frames)
+    return out.withColumns({c: F.round(c, 4) for c in ("spread_m", "height_m", "confidence")})
+
+
 WF = """o AS (SELECT user_id % 40 AS track_id, 80.0 + value / 50 AS alt_m, CAST(event_id % 97 AS DOUBLE) AS cam_e, CAST(event_id % 89 AS DOUBLE) AS cam_n, event_id % 97 + (event_id % 7) * 3.0 AS geo_e, event_id % 89 + (event_id % 5) * 2.0 AS geo_n FROM events),
 sp AS (SELECT track_id, max(alt_m) AS top, count(*) AS n FROM o GROUP BY track_id HAVING count(*) >= 8)"""
 
@@ -97,7 +109,7 @@ def spread(grid: str) -> str:
 
 
 @query(f"""WITH {WF}, g AS (SELECT track_id, unnest(range(0, 60)) * top * 0.95 / 59 AS h FROM sp), v1 AS {spread('g')}, b1 AS (SELECT track_id, min(v) AS v, arg_min(h, (v, h)) AS h FROM v1 GROUP BY track_id),
-r AS (SELECT track_id, greatest(0, h - top * 0.95 / 59) AS lo, h + top * 0.95 / 59 AS hi FROM b1 JOIN sp USING (track_id)), g2 AS (SELECT track_id, lo + unnest(range(0, 21)) * (hi - lo) / 20 AS h FROM r),
+r AS (SELECT track_id, greatest(0, h - top * 0.95 / 59) AS lo, least(top * 0.95, h + top * 0.95 / 59) AS hi FROM b1 JOIN sp USING (track_id)), g2 AS (SELECT track_id, lo + unnest(range(0, 21)) * (hi - lo) / 20 AS h FROM r),
 v2 AS {spread('g2')}, b2 AS (SELECT track_id, min(v) AS v FROM v2 GROUP BY track_id)
 SELECT track_id, round(sqrt(least(b1.v, coalesce(b2.v, b1.v))), 5) AS spread_m FROM b1 LEFT JOIN b2 USING (track_id)""")
 def world_fixed_variance(spark, d):
