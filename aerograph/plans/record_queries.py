@@ -85,9 +85,9 @@ def vector_unpack(spark, d):
     return v.select("r_regionkey", *(F.col("v")[i].cast("double").alias(f"v{i}") for i in range(4)))
 
 
-@query(f"""WITH {rel.BOXES}, f AS (SELECT DISTINCT 'frame_' || CAST(p_partkey AS VARCHAR) AS parent_path FROM part WHERE p_partkey < 600) SELECT parent_path, count(det_id) AS segments FROM f LEFT JOIN boxes USING (parent_path) GROUP BY parent_path""")
+@query(f"""WITH {rel.BOXES}, f AS (SELECT DISTINCT 'frame_' || CAST(p_partkey AS VARCHAR) AS parent_path FROM part) SELECT parent_path, count(det_id) AS segments FROM f LEFT JOIN boxes USING (parent_path) GROUP BY parent_path""")
 def segments_for_frames(spark, d):
-    f = rel.read(spark, d, "part").filter("p_partkey < 600").select(F.concat(F.lit("frame_"), F.col("p_partkey").cast("string")).alias("parent_path")).distinct()
+    f = rel.read(spark, d, "part").select(F.concat(F.lit("frame_"), F.col("p_partkey").cast("string")).alias("parent_path")).distinct()
     return f.join(rel.boxes(spark, d), "parent_path", "left").groupBy("parent_path").agg(F.count("det_id").alias("segments"))
 
 
@@ -126,11 +126,11 @@ def difficulty_threshold(spark, d):
     return rel.boxes(spark, d).filter(F.col("conf") >= limit).select("det_id", level.alias("difficulty"))
 
 
-@query(f"""WITH {rel.BOXES}, f AS (SELECT det_id, parent_path, label FROM boxes QUALIFY row_number() OVER (PARTITION BY label ORDER BY parent_path, det_id) <= 5) SELECT * FROM f""")
+@query(f"WITH {rel.BOXES} SELECT det_id, label, row_number() OVER (PARTITION BY label ORDER BY parent_path, det_id) AS pos FROM boxes")
 def image_order(spark, d):
-    """The first five images of every label by name."""
+    """Each image's place by name among those of its label."""
     w = W.partitionBy("label").orderBy("parent_path", "det_id")
-    return rel.boxes(spark, d).withColumn("n", F.row_number().over(w)).filter("n <= 5").select("det_id", "parent_path", "label")
+    return rel.boxes(spark, d).select("det_id", "label", F.row_number().over(w).alias("pos"))
 
 
 @query(f"""WITH {rel.TELEMETRY}, s AS (SELECT event_id, alt_m * 6.3 / 4.5 AS w, alt_m * 4.7 / 4.5 AS h, lat, lon FROM telemetry)

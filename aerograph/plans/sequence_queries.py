@@ -90,9 +90,9 @@ def motion_tracks(spark, d):
 
 @query()
 def motion_process(spark, d):
-    """Ten streams with one target each, which moves five pixels a frame over a level scene."""
-    e = rel.read(spark, d, "events").filter("event_id < 1000").select((F.col("event_id") % 10).alias("stream_id"), F.col("event_id").alias("det_id"), F.floor(F.col("event_id") / 10).alias("frame_seq"))
-    blobs = e.withColumns({"cx": F.col("frame_seq") * 5 + 40.0, "cy": F.lit(240.0)})
+    """Ten streams with one target each, which crosses a level scene five pixels a frame, again and again."""
+    e = rel.read(spark, d, "events").select((F.col("event_id") % 10).alias("stream_id"), F.col("event_id").alias("det_id"), F.floor(F.col("event_id") / 10).alias("frame_seq"))
+    blobs = e.withColumns({"cx": (F.col("frame_seq") % 110) * 5 + 40.0, "cy": F.lit(240.0)})
     level = {"lat": 32.0, "alt_m": 80.0, "pitch": -90.0, "yaw": 0.0, "dx": 0.0, "dy": 0.0}
     frames = e.select("stream_id", "frame_seq", *(F.lit(v).cast("double").alias(k) for k, v in level.items()), F.lit(640).alias("img_w"), F.lit(480).alias("img_h"))
     out = M.motion_process(blobs, frames)

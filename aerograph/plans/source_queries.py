@@ -35,9 +35,9 @@ def srt_parse(spark, d):
     return p.select("stream_id", F.col("index").alias("idx"), "timestamp_ms", *(F.round(c, n).alias(c) for c, n in (("lat", 6), ("lon", 6), ("alt_m", 3), ("gimbal_pitch", 1), ("gimbal_yaw", 1))))
 
 
-@query(f"WITH {rel.MISSIONS}, a AS (SELECT *, row_number() OVER (ORDER BY last_accessed DESC NULLS LAST, created_at DESC, id) AS pos FROM missions WHERE status <> 'archived') SELECT id, name, status FROM a WHERE pos <= 200")
+@query(f"WITH {rel.MISSIONS}, a AS (SELECT *, row_number() OVER (ORDER BY last_accessed DESC NULLS LAST, created_at DESC, id) AS pos FROM missions WHERE status <> 'archived') SELECT id, name, status FROM a")
 def mission_listing(spark, d):
-    return C.active(rel.missions(spark, d)).limit(200).select("id", "name", "status")
+    return C.active(rel.missions(spark, d)).select("id", "name", "status")
 
 
 @query(f"WITH {rel.MISSIONS} SELECT id, list_contains(allowed_intents, 'motion_detection') AS motion FROM missions WHERE status <> 'archived'")
