@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or (only where that is unset) a local one."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
-        known = f"file://{tempfile.mkdtemp(prefix='aerograph-')}"
+        made = tempfile.mkdtemp(prefix="aerograph-")  # one machine's own folder, removed with the session's process
+        atexit.register(shutil.rmtree, made, True)
+        known = f"file://{made}"
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
 
