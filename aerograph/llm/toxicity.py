@@ -10,8 +10,8 @@
    inflections inherit from their stem. A text's score is its most toxic word's rate, or
    the toxic rate of training texts without such words.
 
-The classifier is fitted on at most ``MAX_LABELLED`` labelled rows (those with the smallest
-hashes of doc_id); equal texts count once in it. Null and empty texts get the rate of texts
+The classifier is fitted on about ``MAX_LABELLED`` labelled rows at most (where there are more, a
+share of them by the hash of doc_id); equal texts count once in it. Null and empty texts get the rate of texts
 without toxic words. Rows are scored one by one, so repeated rows are kept; ``labels`` rows
 with a null label or doc_id teach nothing, and of several labels of one doc_id the largest holds.
 """
@@ -152,9 +152,11 @@ class Scorer:
 
 
 def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic of the training rows: labelled, not held out, at most MAX_LABELLED, equal texts once."""
+    """text, toxic of the training rows: labelled, not held out, about MAX_LABELLED at most, equal texts once."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    known = known.filter(crc32_mod("doc_id", 3) != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    known = known.filter(crc32_mod("doc_id", 3) != 1)
+    if (total := known.count()) > MAX_LABELLED:
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (MAX_LABELLED << 20) // total)
     text = documents.select("doc_id", "text").filter("text IS NOT NULL")
     return text.join(F.broadcast(known), "doc_id").groupBy(F.xxhash64("text").alias("same"), "toxic").agg(F.first("text").alias("text"))  # MAX_LABELLED bounds the broadcast side
 
