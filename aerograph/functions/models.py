@@ -102,3 +102,48 @@ def verify(df: DataFrame, tile: str, backend: str = "verifier") -> DataFrame:
         return pdf.assign(confirmed=[bool(reply.get(i, {}).get("confirmed", False)) for i in range(len(rows))], vlm_confidence=[float(reply.get(i, {}).get("confidence", 0.0)) for i in range(len(rows))])
 
     return df.groupBy(tile).applyInPandas(run, schema)
+
+
+class Vocabulary:
+    """Expected and anomalous terms of a scene, from a backend; kept by (scene, hint) in lower case, with fallback lists."""
+
+    def __init__(self, backend: Callable[[str, str], dict[str, list[str]]] | None = None, expected: tuple[str, ...] = ("ground", "vegetation", "building", "road"), anomaly: tuple[str, ...] = ("foreign object", "debris")):
+        self.backend, self.fallback, self.known = backend, {"expected": list(expected), "anomaly": list(anomaly)}, {}
+
+    def __call__(self, scene: str, hint: str) -> dict[str, list[str]]:
+        at = (scene.lower(), hint.lower())
+        if at not in self.known:
+            try:
+                made = self.backend(scene, hint) if self.backend else {}
+            except Exception:  # noqa: BLE001  a backend's failure leaves the fallback
+                made = {}
+            self.known[at] = {side: made.get(side) or terms for side, terms in self.fallback.items()}
+        return self.known[at]
+
+    def frame(self, spark, scene: str, hint: str, encoder: str = "encoder") -> DataFrame:
+        """(side, term, vec) for ``score_segments``."""
+        encode = REGISTRY[encoder]()
+        rows = [(side, t, encode(t)) for side, terms in self(scene, hint).items() for t in terms]
+        return spark.createDataFrame(rows, "side string, term string, vec array<double>")
+
+
+def segment(df: DataFrame, frame: str, backend: str, min_area: int = 400, max_share: float = 0.40) -> DataFrame:
+    """frame, x1, y1, x2, y2, area of the regions of every frame; too small and too large ones are dropped.
+
+    The backend gives dicts with a box, an area and the frame's area; a frame that fails gives none.
+    """
+    factory, kind = REGISTRY[backend], df.schema[frame].dataType.simpleString()
+
+    def run(parts):
+        model = factory()
+        for pdf in parts:
+            rows = []
+            for f in pdf[frame]:
+                try:
+                    found = model(f)
+                except Exception:  # noqa: BLE001  as above
+                    found = []
+                rows += [(f, *r["box"], r["area"]) for r in found if min_area <= r["area"] <= max_share * r["frame_area"]]
+            yield pd.DataFrame(rows, columns=[frame, "x1", "y1", "x2", "y2", "area"])
+
+    return df.select(frame).mapInPandas(run, f"{frame} {kind}, x1 double, y1 double, x2 double, y2 double, area double")

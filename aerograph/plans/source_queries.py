@@ -122,3 +122,18 @@ def world_file_bounds(spark, d):
     text = F.concat_ws("\n", F.lit("0.001"), F.lit("0"), F.lit("0"), F.lit("-0.001"), F.format_string("%.4f", n / 1000.0 + 0.0005), F.lit("9.9995"))
     p = T.world_file(rel.read(spark, d, "events").select("event_id", text.alias("text")).filter(F.col("event_id") >= 0))
     return p.select("event_id", F.round("north", 6).alias("north"), F.round("south", 6).alias("south"), F.round("west", 6).alias("west"))
+
+
+@query("""WITH t AS (SELECT user_id, 0 AS source_rank, event_id FROM events WHERE event_type = 'click' AND user_id % 3 = 0 UNION ALL SELECT user_id, 1, event_id FROM events WHERE event_type = 'view' AND user_id % 2 = 0 UNION ALL SELECT user_id, 2, event_id FROM events WHERE event_type NOT IN ('click', 'view'))
+SELECT user_id, source_rank, event_id FROM t QUALIFY source_rank = min(source_rank) OVER (PARTITION BY user_id)""")
+def telemetry_precedence(spark, d):
+    e = rel.read(spark, d, "events").select("user_id", "event_type", "event_id")
+    out = T.first_source("user_id", e.filter("event_type = 'click' AND user_id % 3 = 0"), e.filter("event_type = 'view' AND user_id % 2 = 0"), e.filter("event_type NOT IN ('click', 'view')"))
+    return out.select("user_id", "source_rank", "event_id")
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'wm265e' WHEN 1 THEN 'abc1' ELSE '' END AS variant, event_id % 3 = 0 AS known FROM events""")
+def packet_variants(spark, d):
+    n = F.col("event_id") % 3
+    h = F.when(n == 0, F.lit("x DVTM_WM265E y")).when(n == 1, F.lit("dvtm_abc1")).otherwise(F.lit("meta"))
+    return rel.read(spark, d, "events").select("event_id", T.packet_variant(h).alias("variant"), T.known_variant(h).alias("known"))

@@ -135,3 +135,26 @@ def world_file(df: DataFrame, text: str = "text", width: int = 1000, height: int
     (lat_n, lon_w), (lat_s, lon_e) = G.inverse_web_mercator(west, north), G.inverse_web_mercator(east, south)
     pick = lambda a, b: F.when(mercator, a).otherwise(b)
     return df.withColumns({"north": pick(lat_n, north), "south": pick(lat_s, south), "west": pick(lon_w, west), "east": pick(lon_e, east)})
+
+
+def first_source(key: str, *sources: DataFrame) -> DataFrame:
+    """Rows of each key's first source that has any (subtitles before packets before metadata dumps), with ``source_rank``."""
+    ranked = None
+    for rank, df in enumerate(sources):
+        df = df.withColumn("source_rank", F.lit(rank))
+        ranked = df if ranked is None else ranked.unionByName(df, allowMissingColumns=True)
+    best = ranked.groupBy(key).agg(F.min("source_rank").alias("source_rank"))
+    return ranked.join(best, [key, "source_rank"], "left_semi")
+
+
+#: Packet variants that share one field layout.
+COMPATIBLE_VARIANTS = ("wm265e", "wm265", "wm265m", "wm267")
+
+
+def packet_variant(handler: Column) -> Column:
+    """The packet variant that a track's handler name tells; empty where it tells none."""
+    return F.lower(F.regexp_extract(handler, r"(?i)dvtm_(\w+)", 1))
+
+
+def known_variant(handler: Column) -> Column:
+    return packet_variant(handler).isin(*COMPATIBLE_VARIANTS)

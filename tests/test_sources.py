@@ -89,3 +89,20 @@ def test_models(spark):
     checked = models.verify(found, "tile").collect()
     assert all(r.confirmed == (r.confidence >= 0.5) for r in checked)
     assert not any(r.confirmed for r in models.verify(found, "tile", "broken").collect())
+
+
+def test_vocabulary_and_segments(spark):
+    calls = []
+
+    def backend(scene, hint):
+        calls.append(scene)
+        if scene == "bad":
+            raise RuntimeError
+        return {"expected": ["sand"], "anomaly": []}
+
+    v = models.Vocabulary(backend)
+    assert v("Beach", "x") == v("beach", "X") == {"expected": ["sand"], "anomaly": ["foreign object", "debris"]} and len(calls) == 1
+    assert v("bad", "x")["expected"][0] == "ground"
+    assert v.frame(spark, "beach", "x").count() == 3
+    models.register("regions", lambda: lambda f: [{"box": (0, 0, 30, 30), "area": a, "frame_area": 10_000} for a in (100, 900, 9000)])
+    assert [r.area for r in models.segment(spark.createDataFrame([("f",)], "f string"), "f", "regions").collect()] == [900.0]
