@@ -111,23 +111,25 @@ def retained(classes: DataFrame) -> DataFrame:
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): root is the smallest node reachable.
 
-    Minimum labels spread over links and jump through their own labels until nothing
-    changes; each round is written to the shared folder. A hub's links are joined by
-    the hub's key, where adaptive execution splits them, and minima combine map-side.
+    Every round maps each node to its smallest neighbour or itself and contracts the links
+    by that map, which at least halves the nodes that still have links. Rounds are written to the
+    shared folder. Minima combine map-side, and a hub's links are split by adaptive execution.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), f"{label}-links")
-    roots = cut(both.groupBy("a").agg(F.min("b").alias("root")).select("a", F.least("root", "a").alias("root")).withColumnRenamed("a", "node"), f"{label}-roots")
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    links = cut(edges.select(*ordered("a", "b")).filter("a < b").distinct(), f"{label}-links")
+    names = None
     while True:
-        near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("seen"))
-        met = roots.join(near, "node").select("node", F.least("root", "seen").alias("root"), (F.col("seen") < F.col("root")).alias("moved"))
-        jump = roots.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        met = cut(
-            met.join(jump, "root", "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root"), (F.col("moved") | F.coalesce(F.col("further") < F.col("root"), F.lit(False))).alias("moved")),
-            f"{label}-roots",
-        )
-        roots = met.select("node", "root")
-        if met.filter("moved").isEmpty():
-            return roots
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")), f"{label}-step")
+        if names is None:
+            names = step.withColumnRenamed("to", "root")
+        else:
+            names = cut(names.join(step.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"{label}-roots")
+        for end in ("a", "b"):
+            links = links.join(step.withColumnsRenamed({"node": end, "to": "__to"}), end).withColumn(end, F.col("__to")).drop("__to")
+        links = cut(links.select(*ordered("a", "b")).filter("a < b").distinct(), f"{label}-links")
+        if links.isEmpty():
+            return names
 
 
 class Forest:
@@ -257,7 +259,8 @@ def class_links(docs: DataFrame, key: str, text: str, width: int, percent: int)
     need = F.when(n <= K, F.greatest(F.lit(1), whole)).otherwise(SHARED[percent])
     prefix = k - need + 1 - (k - F.size("shared"))  # after the values that the class alone retains
     kept = cut(per.select("node", "weight", prefix.cast("int").alias("prefix"), "shared").filter("prefix > 0").select("node", "weight", F.explode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("e")).select("node", "weight", "e.value"), "prefix")
-    hubs = kept.groupBy("value").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1")
+    # The most central member is the hub of most of its lists, so that a group has few links more than members.
+    hubs = kept.groupBy("value").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"), F.count("*").alias("members")).filter("members > 1")
     stars = kept.join(hubs, "value").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     grouped = components(stars, "groups").withColumnRenamed("root", "grp")
     weights = kept.groupBy("node").agg(F.first("weight").alias("weight"))
