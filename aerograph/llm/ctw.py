@@ -196,10 +196,39 @@ class Tree:
         return out
 
 
+class Words:
+    """Numbers words: their hash, and their log10 base probability if they are among the frequent ones."""
+
+    def __init__(self, base: dict, limit: int = 150_000):
+        self.base, self.limit, self.ids = base, limit, {}
+        self.hashes, self.logs, self.rare = np.zeros(limit, np.int64), np.zeros(limit), np.zeros(limit, bool)
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        new = set(words)
+        if len(self.ids) + len(new) > len(self.hashes) or len(self.ids) > self.limit:
+            self.ids.clear()
+        new.difference_update(self.ids)
+        at, end = len(self.ids), len(self.ids) + len(new)
+        if end > len(self.hashes):
+            self.hashes, self.logs, self.rare = np.zeros(end, np.int64), np.zeros(end), np.zeros(end, bool)
+        if new:
+            new = list(new)
+            keys, counts = self.base["keys"], self.base["counts"]
+            hashes = np.fromiter(map(word_hash, new), np.int64, len(new))
+            c = np.zeros(len(new), np.int64)
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                c = np.where(keys[i] == hashes, counts[i], 0)
+            self.hashes[at:end], self.rare[at:end] = hashes, c == 0
+            self.logs[at:end] = np.where(c > 0, np.log10((c + 1) / (self.base["n"] + self.base["v"] + 1)), 0.0)
+            self.ids.update(zip(new, range(at, end)))
+        return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+
+
 class Scores:
     """Scores byte runs; runs met before come from a table with one entry per slot."""
 
-    BITS = 20
+    BITS = 21
 
     def __init__(self, tree: Tree):
         self.tree = tree
@@ -254,34 +283,26 @@ def language_model_scores(documents: DataFrame, key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, base = shared.value
-        scores, size, draw = Scores(tree), base["n"] + base["v"] + 1, np.random.default_rng()
+        scores, words, draw = Scores(tree), Words(base), np.random.default_rng()
         for batch in batches:
             at = 0
             for some in parts([t.lower() for t in blobs(batch.column(1))]):
-                split = [t.split() for t in some]
-                every = list({w for ws in split for w in ws} | {END})
-                keys = np.fromiter(map(word_hash, every), np.int64, len(every))
-                if len(base["keys"]):
-                    i = np.minimum(np.searchsorted(base["keys"], keys), len(base["keys"]) - 1)
-                    c = np.where(base["keys"][i] == keys, base["counts"][i], 0)
-                else:
-                    c = np.zeros(len(every), np.int64)
-                logs = dict(zip(every, np.where(c > 0, np.log10((c + 1) / size), 0.0).tolist()))
-                rare = {w: k for w, k, n in zip(every, keys.tolist(), c.tolist()) if not n}
-                columns = {n: [] for n in names[4:]}
-                for ws in split:
-                    ws.append(END)
-                    own = Counter(w for w in ws if w in rare) if rare else {}
-                    columns["n_tokens"].append(len(ws))
-                    columns["known"].append(len(ws) - sum(own.values()))
-                    columns["base"].append(sum(map(logs.__getitem__, ws)))
-                    columns["rare"].append([rare[w] for w in own])
-                    columns["times"].append(list(own.values()))
-                columns["score"] = scores(some)
-                n = len(some)
-                made = [pa.array(draw.integers(0, 1 << 63, n)), batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array([len(t) for t in some], pa.int64())]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(made + [pa.array(columns[k], t) for k, t in zip(names[4:], kinds)], names=names)
+                split = [[*t.split(), END] for t in some]
+                n, sizes = len(some), np.fromiter(map(len, split), np.int64, len(split))
+                ids = words([w for ws in split for w in ws])
+                starts = np.cumsum(sizes) - sizes
+                rare = words.rare[ids]
+                # The rare words of each text, with their numbers: pairs (text, word) are counted as one number.
+                most = len(words.hashes)
+                pairs, times = np.unique(np.repeat(np.arange(n), sizes)[rare] * most + ids[rare], return_counts=True)
+                ends = np.concatenate([[0], np.searchsorted(pairs, (np.arange(n) + 1) * most)]).astype(np.int32)
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x, pa.int64()))
+                made = [
+                    pa.array(draw.integers(0, 1 << 63, n)), batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array([len(t) for t in some], pa.int64()),
+                    pa.array(sizes), pa.array(sizes - np.add.reduceat(rare.astype(np.int64), starts)), pa.array(np.add.reduceat(words.logs[ids], starts)),
+                    pa.array(scores(some)), lists(words.hashes[pairs % most]), lists(times),
+                ]
+                yield pa.RecordBatch.from_arrays(made, names=names)
                 at += n
 
     rows = cut(docs.mapInArrow(run, schema), "scores")  # a row's number is drawn once, when it is written
