@@ -1 +1,10 @@
-"""aerograph: a PySpark-native geo-intelligence analytics engine."""
+"""aerograph: a PySpark-native geo-intelligence analytics engine.
+
+Functions that run on executors are pickled by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
