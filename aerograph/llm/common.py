@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,19 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Shared:
+    """A broadcast value, pickled with its classes, so that workers need no copy of this package; made once for a task."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.handle, self.made = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    @property
+    def value(self):
+        if self.made is None:
+            self.made = pickle.loads(self.handle.value)
+        return self.made
+
+
 def blobs(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blobs, crc32_mod, cut, over_batches, table
+from .common import Shared, blobs, crc32_mod, cut, over_batches, table
 
 DEPTH = 5
 MAX_RUNS = 1 << 18
@@ -277,7 +277,7 @@ def language_model_scores(documents: DataFrame, key: str = "doc_id", text: str =
     docs = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"))
     docs = docs.withColumn("train", crc32_mod("doc_id", modulus) != held)
     tree, base, words = train(docs)
-    shared = documents.sparkSession.sparkContext.broadcast((tree, base))
+    shared = Shared(documents.sparkSession, (tree, base))
     schema = "row long, doc_id long, train boolean, n_bytes long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>"
     names = [x.split()[0] for x in schema.split(", ")]
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, over_batches, table
+from .common import Shared, blobs, over_batches, table
 
 ALPHA, OVERLAP, PART_OVERLAP, RUN = 0.7, 0.8, 0.5, 5
 K1, B = 1.2, 0.75
@@ -213,7 +213,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     names = schema.replace(",", "").split()[::2]
     out = None
     for index in indexes(benchmark, count=lambda v: word_counts(documents, text, v)) or [Index([])]:
-        shared = documents.sparkSession.sparkContext.broadcast(index)
+        shared = Shared(documents.sparkSession, index)
 
         def step(batch: pa.RecordBatch, shared=shared) -> dict:
             rows = [(d, *x) for d, raw in zip(batch.column(0).to_pylist(), blobs(batch.column(1))) for x in shared.value.search(raw)]
@@ -228,7 +228,7 @@ def drop_leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text") -
     """The rows of ``documents`` (all columns) that hold no benchmark item."""
     i = documents.columns.index(text)
     for index in indexes(benchmark, count=lambda v, docs=documents: word_counts(docs, text, v)):
-        shared = documents.sparkSession.sparkContext.broadcast(index)
+        shared = Shared(documents.sparkSession, index)
 
         def run(batches, shared=shared):
             for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blobs, crc32_mod, cut, over_batches, table
+from .common import Shared, blobs, crc32_mod, cut, over_batches, table
 
 MAX_LABELLED = 200_000
 THRESHOLD = 0.7
@@ -214,7 +214,7 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Scorer]:
 def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(train(documents, labels))
+    shared = Shared(spark, train(documents, labels))
 
     def step(batch: pa.RecordBatch) -> dict:
         model, scorer = shared.value
@@ -228,7 +228,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``documents`` (all columns) whose text is not predicted toxic."""
-    shared = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
+    shared = Shared(documents.sparkSession, train(documents, labels))
     i = documents.columns.index("text")
 
     def run(batches):
