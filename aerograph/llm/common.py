@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, the complement of the contracts' word class ``[^\x20\x09-\x0D]``;
 #: ``bytes.split()`` splits on exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +58,14 @@ class Shared:
         return self.made
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session sends workers at most BATCH rows at a time, since texts can be long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, str(BATCH))
+    return df
+
+
 def blobs(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
@@ -75,7 +84,7 @@ def over_batches(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], di
             arrays = [x.cast(f.type) if isinstance(x := made[f.name], pa.Array) else pa.array(x, f.type) for f in target]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

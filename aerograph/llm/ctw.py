@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Shared, blobs, crc32_mod, cut, over_batches, table
+from .common import Shared, blobs, crc32_mod, cut, small_batches, table
 
 DEPTH = 5
 MAX_RUNS = 1 << 18
@@ -110,7 +110,7 @@ def counted(documents: DataFrame) -> DataFrame:
         yield out(0, [word_hash(w) for w in words], list(words.values()))
         yield out(1, runs[0].astype(np.int64), runs[1])
 
-    return documents.select("text", "train").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return small_batches(documents.select("text", "train")).mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def most_frequent(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:

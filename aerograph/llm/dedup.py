@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, blobs, cut, over_batches, shingle_hashes, table
+from .common import WordHashes, blobs, cut, over_batches, shingle_hashes, small_batches, table
 
 K = 64
 #: Retained values that two similar sets of over K values share: P(Binomial(64, .85) < 36) < 1e-8.
@@ -229,7 +229,7 @@ def by_run(rows: DataFrame, keys: list[str], work) -> DataFrame:
             out += work([dict(zip(names, r)) for r in held])
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, LINKS)
+    return small_batches(dealt).mapInArrow(run, LINKS)
 
 
 def compare(percent: int, width: int):
@@ -309,7 +309,7 @@ def with_node(docs: DataFrame, text: str, width: int) -> DataFrame:
                 nodes += [set_id(s) if len(s) else None for s in text_sets(made[x:y], width, hashes)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64())], names=[*b.schema.names, "__node"])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def class_texts(docs: DataFrame, key: str, text: str, width: int, ids: DataFrame) -> DataFrame:
