@@ -105,3 +105,16 @@ def test_probabilities_sum_to_one():
         key = int.from_bytes(context[::-1], "big") << 8
         assert abs((10 ** tree.log10(np.arange(key, key + 256, dtype=np.uint64))).sum() - 1) < 1e-4
     assert np.allclose(C.lgamma(np.array([0.5, 1.0, 7.5, 1e6])), [math.lgamma(x) for x in (0.5, 1.0, 7.5, 1e6)], rtol=1e-12)
+
+
+def test_every_context_keeps_its_node(spark, monkeypatch):
+    data = [(d, t) for d, t in rows(40) if t is None or len(t) < 1000] + [(900 + i, f"rare {i} \u00e9{chr(97 + i)}") for i in range(9)]
+    df = spark.createDataFrame([(d, t, 0.0, "x") for d, t in data], SCHEMA)
+    low = lambda t: (t or "").encode().lower()
+    held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
+    known = slow_tree([low(t) for d, t in data if not held(d)], C.DEPTH)
+    want = sorted(slow_score(low(t), *known, C.DEPTH) for _, t in data)
+    monkeypatch.setattr(C, "GROUP", 50)
+    for most in (C.MAX_RUNS, 20, 0):  # runs shipped: all, a few, none
+        monkeypatch.setattr(C, "MAX_RUNS", most)
+        assert np.allclose(sorted(r.score for r in C.language_model_scores(df).collect()), want, rtol=1e-4, atol=1e-3)
