@@ -1,7 +1,7 @@
 """Toxicity scores of restored text: noisy-channel deobfuscation, then a lexical classifier.
 
 1. A character language model (trigrams of letter classes) is counted over all texts.
-2. Suspicious runs (leetspeak inside words, stretched letters, letters spaced apart) become
+2. Suspicious runs (tokens that hold a look-alike, stretched letters, letters spaced apart), read to their ends, become
    character lattices: every observed character may stand for itself, for a letter it
    resembles, for a repetition of the letter before it, or for nothing. Viterbi decoding
    under the language model picks the restored word.
@@ -46,11 +46,14 @@ CLASSES[65:91] = np.arange(1, 27)
 CLASSES[128:] = 27
 
 WORDS = re.compile(rb"[a-z\x80-\xff]+")
-SUSPECT = re.compile(
-    rb"(?<![^\s])[$@]?[a-z0-9]*(?:[a-z][0-9@$!|+(#*_-]+(?=[a-z])|(?<![0-9])[0-9]{1,3}[a-z]|[$@!](?=[a-z]))[a-z0-9@$!|+(#*_-]{1,40}"  # leetspeak
-    rb"|(?<![a-z\x80-\xff])[a-z]*([a-z])\1\1[a-z]*"  # stretched letters
-    rb"|(?<![^\s])(?:[a-z0-9@$!|][ ._*-]{1,2}){3,24}[a-z0-9@$!|](?![a-z0-9\x80-\xff])"  # spaced letters
-)
+#: Tokens that hold a look-alike, letters stretched, and letters spaced apart; each is tried once and read to its end.
+LEET = re.compile(rb"(?<![a-z0-9@$!|+(#*_-])[a-z]*+[0-9@$!|+(#*_-][a-z0-9@$!|+(#*_-]*+")
+STRETCHED = re.compile(rb"(?<![a-z])[a-z]*([a-z])\1\1[a-z]*+")
+SPACED = re.compile(rb"(?<![a-z0-9])(?:[a-z0-9@$!|+(][ ._*-]++)+[a-z0-9@$!|+(](?![a-z0-9])")
+GAP = re.compile(rb"[ ._*-]+")
+CUT = re.compile(rb"[-_*#(+|]+")
+LETTER = re.compile(rb"[a-z]")
+PUNCTUATION = b"!*-_#|(+"
 
 
 def trigram_counts(df: DataFrame, text: str) -> np.ndarray:
@@ -88,6 +91,8 @@ class Restorer:
         self.model, self.known, self.limit = model.tolist(), {}, limit
 
     def __call__(self, run: bytes) -> bytes:
+        if len(run) > 256:  # not worth a place
+            return self.decode(run)
         if run not in self.known:
             if len(self.known) >= self.limit:
                 self.known.clear()
@@ -95,7 +100,7 @@ class Restorer:
         return self.known[run]
 
     def decode(self, run: bytes) -> bytes:
-        best = {(0, 0): (0.0, b"")}
+        best: dict = {(0, 0): (0.0, None)}  # words as chains (chain before, letter), so that long runs cost no copies
         text = run.decode("latin-1")
         for at, ch in enumerate(text):
             stretched = ch * 3 in text[max(0, at - 2) : at + 3]
@@ -106,27 +111,56 @@ class Restorer:
                 row = self.model[a][b]
                 for c, cost in arcs:
                     if (s := score + cost + row[c]) > new.get((b, c), (-math.inf,))[0]:
-                        new[b, c] = (s, word + bytes((96 + c,)))
+                        new[b, c] = (s, (word, c))
                     if stretched and c == b and (s := score + cost + REPEAT) > new.get((a, b), (-math.inf,))[0]:
                         new[a, b] = (s, word)
                 if silent or ch in "!|+(":
                     if (s := score + (0.0 if silent else SILENT)) > new.get((a, b), (-math.inf,))[0]:
                         new[a, b] = (s, word)
             best = new
-        return max(((s + self.model[a][b][0], w) for (a, b), (s, w) in best.items()), default=(0, b""))[1]
+        chain = max(((s + self.model[a][b][0], at, w) for at, ((a, b), (s, w)) in enumerate(best.items())), key=lambda x: x[:2], default=(0, 0, None))[2]
+        out = bytearray()
+        while chain:
+            chain, c = chain
+            out.append(96 + c)
+        return bytes(out[::-1])
+
+
+def leet_runs(token: bytes) -> set[bytes]:
+    """Readings of a token: as it stands, without punctuation at its ends (a last "$" can be either), and its parts between joining signs."""
+    some = {token, *CUT.split(token)}
+    some |= {x.lstrip(PUNCTUATION) for x in some}
+    return some | {x.rstrip(PUNCTUATION) for x in some} | {x.rstrip(PUNCTUATION + b"$") for x in some}
+
+
+def spaced_runs(run: bytes) -> set[bytes]:
+    """Readings of spaced letters: all, the parts between wider gaps, and each without its first and second letter (an article, the end of "he's")."""
+    gaps = [*GAP.finditer(run)]
+    least, parts, at = min(len(m[0]) for m in gaps), [run], 0
+    if any(len(m[0]) > least for m in gaps):
+        for m in gaps:
+            if len(m[0]) > least:
+                parts.append(run[at : m.start()])
+                at = m.end()
+        parts.append(run[at:])
+    some = {x for part in parts for x in (part, GAP.split(part, maxsplit=1)[-1], GAP.split(part, maxsplit=2)[-1])}
+    return {x for x in some if GAP.search(x)}
 
 
 def text_words(raw: bytes, restore: Restorer) -> set[bytes]:
     """The distinct words of a text as it stands, and the restored ones."""
     low = raw.lower()
     words = set(WORDS.findall(low))
-    for m in SUSPECT.finditer(low):
-        run = m[0].rstrip(b"!*-_#|(+$. ")
-        if sum(97 <= c <= 122 for c in run) >= 2:
-            word = restore(run)
-            words.add(word)
-            if b" " in run and word[:1] in (b"a", b"i"):  # an article before spaced letters
-                words.add(word[1:])
+    runs: set[bytes] = set()
+    for token in set(LEET.findall(low)):
+        if LETTER.search(token):
+            runs |= leet_runs(token)
+    for run in set(SPACED.findall(low)):
+        if LETTER.search(run):
+            runs |= spaced_runs(run)
+    found = {restore(m[0]) for m in STRETCHED.finditer(low)}
+    found.update(restore(run) for run in runs if not run.isalpha() and LETTER.search(run))  # plain words are there
+    words |= found
     words.discard(b"")
     return words
 

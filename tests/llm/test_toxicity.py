@@ -46,3 +46,16 @@ def test_decoder_restores_words():
         assert restore(seen) == want
         assert want in T.text_words(b"so " + seen + b" now", restore)
     assert T.text_words(b"call 555-7713 now%%% 2024", restore) == {b"call", b"now"}
+
+
+def test_every_token_is_decoded():
+    text = b" ".join([b"pathetic worthless stupid moron idiot loser ass the and with other words"] * 50)
+    c = T.CLASSES[np.frombuffer(b"  " + text + b" ", np.uint8)]
+    counts = np.bincount((c[:-2] * T.STATES + c[1:-1]) * T.STATES + c[2:], minlength=T.STATES**3)
+    restore = T.Restorer(T.language_model(counts))
+    cases = [('"m0ron"', "moron"), ("(l0ser", "loser"), (",1d10t", "idiot"), ("a55", "ass"), ("idio7", "idiot"), ("worthle$$", "worthless"), ("worthle$$!", "worthless"), ("\u201cm0ron\u201d", "moron")]
+    cases += [("\u201cstuuupid\u201d", "stupid"), ("a s s", "ass"), ("(i d i o t)", "idiot"), ("he's a m o r o n", "moron"), ("i   d   i   o   t", "idiot"), ("s t u p i d  m o r o n", "moron"), ("the-m0ron", "moron"), ("stu" + "u" * 60 + "p1d", "stupid")]
+    for seen, want in cases:
+        assert want.encode() in T.text_words(f"so {seen} now".encode(), restore), seen
+    long = b" ".join([b"l0ser"[k % 5 : k % 5 + 1] for k in range(100_000)])  # linear in a run's length
+    assert b"loser" * 20_000 in T.text_words(long, restore)
