@@ -34,8 +34,8 @@ WIDE_DOMAIN = re.compile(r"[^\W_](?:[\w-]*)(?:\.[^\W_][\w-]*)+")
 IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+")
-ACCOUNT = re.compile(r"[ \t]{0,3}(?:is|no\.?|number|#|:|=)?[ \t:=#\"']{0,4}([A-Za-z0-9](?:[A-Za-z0-9_-]|(?<=[0-9]) (?=[0-9]{2})){5,63})")
-USER_DATA = re.compile(r"[^\s/?#@]{1,256}@[^\s/?#@]+")
+ACCOUNT = re.compile(r"[ \t]{0,3}(?:is|no\.?|number|#|:|=)?[ \t:=#\"']{0,4}([A-Za-z0-9](?:[A-Za-z0-9_-]|(?<=[0-9]) (?=[0-9]{2})){5,}+)")
+USER_DATA = re.compile(r"[^\s/?#@]++@[^\s/?#@]+")
 RUN = re.compile(r"[0-9]+")
 
 
@@ -62,7 +62,7 @@ def spans_of(text: str, anchors) -> list[tuple[int, int, str]]:
     if not text:
         return []
     out: list[tuple[int, int, str]] = []
-    mail_end = ip_end = card_end = phone_end = run_end = cue_end = 0
+    mail_end = ip_end = card_end = phone_end = run_end = cue_end = plain_end = 0
     for last, what in anchors.iter(text):
         if what in DIGITS:
             if last < run_end:
@@ -85,8 +85,7 @@ def spans_of(text: str, anchors) -> list[tuple[int, int, str]]:
                 mail_end = m.end()
                 out.append((start, mail_end, "email"))
             wide = last
-            low = max(0, last - 256)
-            while wide > low and (text[wide - 1] in LOCAL or text[wide - 1].isalnum()):
+            while wide > 0 and (text[wide - 1] in LOCAL or text[wide - 1].isalnum()):
                 wide -= 1
             w = WIDE_DOMAIN.match(text, last + 1) if wide < last else None
             if w and (not m or w.end() > m.end() or wide < start) and not text[wide : w.end()].isascii():
@@ -106,9 +105,12 @@ def spans_of(text: str, anchors) -> list[tuple[int, int, str]]:
                 while start > 0 and text[start - 1].isalpha() and last - start < 16:
                     start -= 1
                 out.append((start, m.end(), "address"))
-        elif last >= cue_end and (m := ACCOUNT.match(text, last + 1)) and sum(c in DIGITS for c in m[1]) >= 4:
-            cue_end = m.end()
-            out.append((m.start(1), m.end(1), "account"))
+        elif last + 1 >= cue_end and last + 7 >= plain_end and (m := ACCOUNT.match(text, last + 1)):  # "number", the longest word before a value, has 6 letters
+            if sum(c in DIGITS for c in m[1]) >= 4:
+                cue_end = m.end()
+                out.append((m.start(1), m.end(1), "account"))
+            else:
+                plain_end = m.end()  # cues inside this run start parts of it, with no more digits
     out.sort(key=lambda x: (x[0], ORDER[x[2]], x[1]))
     return out
 

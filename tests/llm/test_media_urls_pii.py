@@ -134,3 +134,15 @@ def test_rule_tokens_are_whole():
     assert filed == {"es": [0]} and always == [1]
     with pytest.raises(ValueError):
         urls.url_verdicts(None, host_rules=(), patterns=range(urls.MAX_RULES + 1))
+
+
+def test_pii_spans_reach_the_real_end():
+    anchors = pii.automaton()
+    secret, local, user = "0f" * 64 + "a-b_c", "é" + "x" * 400, "u" * 300 + ":" + "p4" * 300
+    assert pii.redacted(f"token = {secret} end", anchors) == "token = [ACCOUNT] end"
+    assert pii.redacted(f"mail {local}@exämple.de now", anchors) == "mail [ADDRESS] now"
+    assert pii.redacted(f"see https://{user}@host.org/x", anchors) == "see [ADDRESS]/x"
+    assert pii.redacted(f"token={'a1' * 50}_token = 12345678", anchors) == "token=[ACCOUNT] = [ACCOUNT]"
+    assert pii.redacted("token: my_tokenis 12345678", anchors) == "token: my_tokenis [ACCOUNT]"
+    for x in ("token", "é@", "a://b"):  # linear in the text
+        pii.spans_of(x * 100_000, anchors)
