@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from aerograph.config import DEFAULT
+from aerograph.config import DEFAULT, EARTH_RADIUS_M
 from aerograph.functions import geo as G
 from aerograph.functions import scalar as S
 
@@ -62,6 +62,43 @@ def merge_angles(df: DataFrame, group: str, threshold_m: float = DEFAULT.merge_m
     return best.withColumn("is_multiangle", F.count("*").over(w) > 1).drop("rn")
 
 
+def merge_detections(df: DataFrame, threshold_m: float = DEFAULT.merge_m, most: int = DEFAULT.max_angles) -> DataFrame:
+    """Geo clusters over the whole table, by the rule of ``merge_angles``; instance_id is the seed's det_id (det_id is unique).
+
+    Pairs within the threshold come from an equi-join on cells of that size in space. Seeds are found in rounds: an undecided
+    row with no undecided row before it in reach is one, and decides the rows in its reach; so no group is one task.
+    Rows without a place are instances of their own.
+    """
+    from aerograph.llm.common import cut
+
+    size = threshold_m * (1 + 1e-9) + 1e-6
+    lat, lon = F.radians("lat"), F.radians("lon")
+    x = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+    rows = cut(df.select("det_id", "conf", "lat", "lon", "frame_seq", *(F.floor(v * EARTH_RADIUS_M / size).alias(k) for k, v in x.items())), "detections")
+    step = F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))
+    b = rows.select(F.col("det_id").alias("b"), F.col("conf").alias("b_conf"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), *(F.col(k).alias(f"b_{k}") for k in x))
+    for k in x:
+        b = b.withColumn("__s", step).withColumn(f"b_{k}", F.col(f"b_{k}") + F.col("__s")).drop("__s")
+    met = rows.join(b, [F.col(k) == F.col(f"b_{k}") for k in x])
+    first = (F.col("b_conf") > F.col("conf")) | (F.col("b_conf") == F.col("conf")) & (F.col("b") < F.col("det_id"))
+    pairs = cut(met.filter(first & (G.haversine_m("b_lat", "b_lon", "lat", "lon") <= threshold_m)).select(F.col("det_id").alias("a"), "b", "b_conf"), "near-pairs")
+    left, seeds = pairs.select("a", "b"), rows.select(F.col("det_id").alias("b")).join(pairs.select(F.col("a").alias("b")), "b", "left_anti")
+    new = seeds
+    while not left.isEmpty():
+        out = cut(left.join(new, "b", "left_semi").select("a").distinct(), "decided")
+        rest = left.join(out, "a", "left_anti")  # pairs of rows still open, with all rows before them
+        rest = cut(rest.join(out.withColumnRenamed("a", "b"), "b", "left_anti"), "open-pairs")
+        open_rows = left.select("a").distinct().join(out, "a", "left_anti")
+        new = cut(open_rows.join(rest.select("a"), "a", "left_anti").withColumnRenamed("a", "b"), "seeds")
+        left, seeds = rest, seeds.unionByName(new)
+    seed = pairs.join(seeds, "b", "left_semi").groupBy(F.col("a").alias("det_id")).agg(F.max_by("b", F.struct("b_conf", -F.col("b"))).alias("seed"))
+    made = rows.join(seed, "det_id", "left").select(F.coalesce("seed", "det_id").alias("instance_id"), "det_id", "conf", "frame_seq")
+    best = made.withColumn("rn", F.row_number().over(W.partitionBy("instance_id", "frame_seq").orderBy(F.desc("conf"), "det_id"))).filter("rn = 1")
+    w = W.partitionBy("instance_id")
+    best = best.withColumn("rn", F.row_number().over(w.orderBy(F.desc("conf"), "det_id"))).filter(F.col("rn") <= most)
+    return best.withColumn("is_multiangle", F.count("*").over(w) > 1).drop("rn")
+
+
 def isolation_gate(df: DataFrame, radius: float, frame: str = "frame_seq", key: str = "det_id", x: str = "cx", y: str = "cy") -> DataFrame:
     """Rows without another row of their frame within ``radius``; cells of that size make it an equi-join."""
     if radius <= 0:

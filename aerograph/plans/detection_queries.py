@@ -89,6 +89,12 @@ def geo_cluster_multiangle(spark, d):
     return D.merge_angles(near, "block").select("block", "instance_id", "det_id", F.round("conf", 6).alias("conf"), "frame_seq", "is_multiangle")
 
 
+@query()
+def geo_cluster_whole(spark, d):
+    """The clusters of all detections, not of blocks."""
+    return D.merge_detections(rel.dets(spark, d)).select("instance_id", "det_id", F.round("conf", 6).alias("conf"), "frame_seq", "is_multiangle")
+
+
 @query(f"""WITH {rel.BOXES}, b AS (SELECT det_id, parent_path, (x1 + x2) / 2.0 AS cx, (y1 + y2) / 2.0 AS cy FROM boxes)
 SELECT det_id, parent_path FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.parent_path = b.parent_path AND o.det_id <> b.det_id AND sqrt((o.cx - b.cx) ** 2 + (o.cy - b.cy) ** 2) <= 60)""")
 def isolation_gate(spark, d):

@@ -156,3 +156,27 @@ def test_catalog(spark, tmp_path):
     assert c.state().first().value == "1"
     c.set_state("k", "3")
     assert [r.value for r in c.state().collect()] == ["3"]
+
+
+def test_merge_detections_of_the_whole_table(spark):
+    rng = random.Random(8)
+    rows = [(i, i // 3, 32.0 + 0.00001 * (i // 3), 34.8 + 0.0005 * (i % 3), rng.randrange(50) / 50) for i in range(240)]  # 1.1 m apart, over 20-frame borders
+    rows += [(1000 + i, i, 0.0, 180.0 if i % 2 else -180.0, rng.random()) for i in range(4)] + [(2000 + i, i, 89.99999, 90.0 * i, rng.random()) for i in range(4)] + [(3000, 1, None, None, 0.5)]
+
+    def metres(p, q):
+        (a, b), (c, d) = (map(math.radians, x[2:4]) for x in (p, q))
+        h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+        return 2 * 6_371_000.0 * math.atan2(math.sqrt(h), math.sqrt(max(0.0, 1 - h)))
+
+    near = lambda p, q: p[2] is not None and q[2] is not None and metres(p, q) <= 3.0
+    seeds, groups = [], {}
+    for r in sorted(rows, key=lambda r: (-r[4], r[0])):
+        first = next((s for s in seeds if near(s, r)), None)
+        if first is None:
+            seeds.append(first := r)
+        frames = groups.setdefault(first[0], {})
+        frames.setdefault(r[1], r[0])
+    want = sorted((s, d, len(f) > 1) for s, f in groups.items() for d in list(f.values())[:3])
+    df = spark.createDataFrame(rows, "det_id long, frame_seq long, lat double, lon double, conf double")
+    got = sorted((r.instance_id, r.det_id, r.is_multiangle) for r in D.merge_detections(df).collect())
+    assert got == want
