@@ -103,10 +103,9 @@ def plan_source(sizes: list[int], counts: list[int], target: float) -> tuple[int
             extra[i] += more
             left -= more * sizes[i]
     free = [i for i in order if 0 < sizes[i] <= left and counts[i] > extra[i]]
-    small = free[::-1][:128]  # the smallest sizes close any gap; some larger ones shorten the search
-    chosen = small[::-1] if len(free) <= 128 else free[:: max(1, len(free) // 128)][:128] + small[::-1]
-    chosen = list(dict.fromkeys(chosen))
-    for i, n in zip(chosen, knapsack([sizes[i] for i in chosen], [counts[i] - extra[i] for i in chosen], left)):
+    if left > 2 * SPARE:  # what is free has over left - SPARE words, so one document fits
+        free, left = free[:1], sizes[free[0]] if free else 0
+    for i, n in zip(free, knapsack([sizes[i] for i in free], [counts[i] - extra[i] for i in free], left)):
         extra[i] += n
     return base, extra
 

@@ -73,3 +73,10 @@ def test_empty(spark):
     assert M.mix(df).count() == 0
     one = M.mix(spark.createDataFrame([(1, None, None, 0)], SCHEMA)).first()
     assert (one.size, one.source_size, one.target, one.taken) == (0, 0, 0.0, 0)
+
+
+def test_all_sizes_are_fitted():
+    # Only the odd size and 1500 make 2951; the smallest sizes and every second one do not hold the odd one.
+    sizes = [1002 + 2 * k + (k == 224) for k in range(300)]
+    base, extra = M.plan_source(sizes, [1] * len(sizes), 2951)
+    assert base == 0 and all(0 <= e <= 1 for e in extra) and sum(s * e for s, e in zip(sizes, extra)) == 2951
