@@ -69,7 +69,7 @@ def merge_detections(df: DataFrame, threshold_m: float = DEFAULT.merge_m, most:
     row with no undecided row before it in reach is one, and decides the rows in its reach; so no group is one task.
     Rows without a place are instances of their own.
     """
-    from aerograph.llm.common import cut
+    from aerograph.scratch import cut
 
     size = threshold_m * (1 + 1e-9) + 1e-6
     lat, lon = F.radians("lat"), F.radians("lon")
