@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import pickle
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,10 +11,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerograph.scratch import Scratch, cut  # noqa: F401
+
 #: ASCII white space, the complement of the contracts' word class ``[^\x20\x09-\x0D]``;
 #: ``bytes.split()`` splits on exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH = 1000
+#: Rows and bytes that a worker handles at once; Spark bounds the bytes of the batches it sends (64 MB).
+ROWS, BYTES = 1000, 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,25 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or (only where that is unset) a local one."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not known:
-        made = tempfile.mkdtemp(prefix="aerograph-")  # one machine's own folder, removed with the session's process
-        atexit.register(shutil.rmtree, made, True)
-        known = f"file://{made}"
-        spark.sparkContext.setCheckpointDir(known)
-    return known.rstrip("/")
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/aerograph/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class Shared:
     """A broadcast value, pickled with its classes, so that workers need no copy of this package; made once for a task."""
 
@@ -58,12 +38,14 @@ class Shared:
         return self.made
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``; its session sends workers at most BATCH rows at a time, since texts can be long."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH:
-        conf.set(key, str(BATCH))
-    return df
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of ROWS rows and about BYTES bytes at most (or of one row), so that what a worker holds is bounded."""
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+        each = min(ROWS, max(1, BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, each):
+            yield batch.slice(at, each)
 
 
 def blobs(column: pa.Array) -> list[bytes]:
@@ -79,12 +61,12 @@ def over_batches(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], di
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             made = step(batch)
             arrays = [x.cast(f.type) if isinstance(x := made[f.name], pa.Array) else pa.array(x, f.type) for f in target]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return small_batches(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, blobs, crc32_mod, cut, over_batches, small_batches, table
+from .common import Shared, blobs, crc32_mod, cut, over_batches, pieces, table
 
 DEPTH = 5
 LEAST = 2
@@ -114,7 +114,7 @@ def counted(documents: DataFrame) -> DataFrame:
             made = [np.full(len(keys), kind, np.int32), np.asarray(keys, np.int64), counts * train, counts]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["kind", "key", "n", "total"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             texts, sides = [t.lower() for t in blobs(batch.column(0))], batch.column(1).to_pylist()
             for side in runs:
                 for some in parts([t for t, x in zip(texts, sides) if x is side]):
@@ -135,7 +135,7 @@ def counted(documents: DataFrame) -> DataFrame:
             runs[side].merge()
             yield out(1, runs[side].keys, runs[side].counts, side)
 
-    rows = small_batches(documents.select("text", "train")).mapInArrow(run, "kind int, key long, n long, total long")
+    rows = documents.select("text", "train").mapInArrow(run, "kind int, key long, n long, total long")
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
@@ -284,7 +284,7 @@ def run_scores(runs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, wait = [], 0, GROUP
-        for batch in batches:
+        for batch in pieces(batches):
             held.append([batch.column(i).to_numpy() for i in range(3)])
             size += batch.num_rows
             if size >= wait:
@@ -406,7 +406,7 @@ def language_model_scores(documents: DataFrame, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, base = shared.value
         scores, words, draw = Scores(frequent), Words(base), np.random.default_rng()
-        for batch in batches:
+        for batch in pieces(batches):
             at = 0
             for some in parts([t.lower() for t in blobs(batch.column(1))]):
                 split = [[*t.split(), END] for t in some]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, blobs, over_batches, small_batches, table
+from .common import Shared, blobs, over_batches, pieces, table
 
 ALPHA, OVERLAP, PART_OVERLAP, RUN = 0.7, 0.8, 0.5, 5
 K1, B = 1.2, 0.75
@@ -231,10 +231,10 @@ def drop_leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text") -
         shared = Shared(documents.sparkSession, index)
 
         def run(batches, shared=shared):
-            for batch in batches:
+            for batch in pieces(batches):
                 yield batch.filter(pa.array([not shared.value.search(raw) for raw in blobs(batch.column(i))], pa.bool_()))
 
-        documents = small_batches(documents).mapInArrow(run, documents.schema)
+        documents = documents.mapInArrow(run, documents.schema)
     return documents
 
 

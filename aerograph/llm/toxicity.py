@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, blobs, crc32_mod, cut, over_batches, small_batches, table
+from .common import Shared, blobs, crc32_mod, cut, over_batches, pieces, table
 
 MAX_LABELLED = 200_000
 THRESHOLD = 0.7
@@ -268,10 +268,10 @@ def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         model, scorer = shared.value
         restore = Restorer(model)
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array([scorer(text_words(raw, restore)) < THRESHOLD for raw in blobs(batch.column(i))], pa.bool_()))
 
-    return small_batches(documents).mapInArrow(run, documents.schema)
+    return documents.mapInArrow(run, documents.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

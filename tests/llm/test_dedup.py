@@ -72,6 +72,38 @@ def test_keep_one(spark):
     assert not [1 for i in range(len(sets)) for j in range(i) if (c := len(sets[i] & sets[j])) * 100 >= 80 * (len(sets[i]) + len(sets[j]) - c)]
 
 
+def test_many_parts(spark):
+    """Lists and groups of several blocks, with chains of links and members outside the largest part."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 6)))
+    shared, texts = [word() for _ in range(60)], []
+    for k in range(40):  # each base shares most of its text with all others, and has copies with a few changes
+        base = shared + [word() for _ in range(rng.randrange(4, 12))]
+        for _ in range(rng.randrange(1, 14)):
+            w = list(base)
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    chain = [word() for _ in range(150)]
+    for k in range(100):  # a chain: neighbours are similar, its ends are not
+        chain[k] = word()
+        texts.append(" ".join(chain))
+    rng.shuffle(texts)
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA)
+    for width, percent in ((3, 85), (5, 80), (1, 90)):
+        got = dedup.near_duplicates(df, width=width, percent=percent).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(list(enumerate(texts)), width, percent)
+
+
+def test_long_sets_are_sent_in_pieces(spark):
+    rng = random.Random(6)
+    base = [str(rng.randrange(10**9)) for _ in range(6000)]
+    texts = [" ".join(base[:k] + [str(k)] + base[k:]) for k in range(0, 6000, 600)] + [" ".join(base[:4000]), "a " * 1_000_000, "a" * 1_000_000, " " * 1_000_000]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_duplicates(df).collect()}
+    assert {got[i][1] for i in range(10)} == {0} and [got[i] for i in range(10, 14)] == [(3998, 10), (1, 11), (1, 12), (0, 13)]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert dedup.near_duplicates(df).count() == 0 and dedup.keep_one(df).count() == 0
@@ -87,3 +119,7 @@ def test_needed_is_a_lower_bound():
         if len(a) and len(b) and 100 * c >= 85 * len(union):
             both = len(np.intersect1d(a[: dedup.K], b[: dedup.K]))
             assert both >= min(dedup.needed([len(a), len(b)], 85)) or max(len(a), len(b)) > dedup.K and both >= 30
+
+
+def test_surely_shared():
+    assert [dedup.surely_shared(p) for p in (80, 85)] == [31, 36] and dedup.surely_shared(100) == 64 and dedup.surely_shared(50) < 31
