@@ -18,6 +18,9 @@ The base score needs the count of every word. The ``MAX_RUNS`` most frequent run
 frequent words are shipped, and all others of a text are looked up by a join, so none is
 lost and both bounds change the speed alone. Words are told apart by 64-bit hashes.
 
+Logarithms of probabilities are added as whole numbers of a small unit, and rows are
+numbered by file and position, so equal texts have equal scores and reruns agree (a sum holds texts of hundreds of millions of bytes).
+
 Null texts count as empty: one token (the end). With no training texts every count
 is 0 and bytes are uniform. Rows are scored one by one (repeated rows each get their
 score); extra columns of the input are ignored.
@@ -26,20 +29,23 @@ score); extra columns of the input are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, blobs, crc32_mod, cut, over_batches, pieces, table
+from .common import Scratch, Shared, blobs, crc32_mod, cut, over_batches, pieces, table
 
 DEPTH = 5
 LEAST = 2
 MAX_RUNS = 1 << 20
 MAX_WORDS = 1 << 18
 END = b" "  # no word holds a space
+UNIT = float(1 << 32)  # log10 probabilities of bytes are whole numbers of 1 / UNIT
+HIGH, LOW = float(1 << 24), float(1 << 60)  # those of words are whole numbers of 1 / HIGH and, for the rest, of 1 / LOW
+LOGS = float(1 << 16)  # so are logarithms of weighted probabilities, of 1 / LOGS
 PART = 500_000  # bytes worked on at once
 GROUP = 50_000  # runs weighed at once, if prefixes end
 U8 = np.uint64(8)
@@ -148,13 +154,23 @@ def most_frequent(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
             break
         held, least = held + r["count"], r["bin"]
     if least is None:
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     kept = rows.filter(bins >= least).select("key", "n").toArrow()
     keys, counts = (kept.column(c).to_numpy() for c in ("key", "n"))
     order = np.argsort(keys)
     return keys[order], counts[order]
 
 
+def fixed(log10: np.ndarray) -> np.ndarray:
+    return np.rint(log10 * UNIT).astype(np.int64)
+
+
+def halves(log10: np.ndarray) -> np.ndarray:
+    """Two rows: a high and a low part, in units of 1 / HIGH and 1 / LOW."""
+    high = np.rint(log10 * HIGH)
+    return np.stack([high, np.rint((log10 - high / HIGH) * LOW)]).astype(np.int64)
+
+
 def lgamma(x: np.ndarray) -> np.ndarray:
     """log Gamma for x > 0, by Stirling's series after a shift by 8."""
     shift = np.zeros_like(x)
@@ -235,6 +251,11 @@ class Tree:
         return out
 
 
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """log10 P(byte | context) of byte runs, in units."""
+        return fixed(self.log10(keys))
+
+
 class Top(Tree):
     """The contexts of fewer than LEAST bytes (0 and 1)."""
 
@@ -263,28 +284,30 @@ def subtree(keys: np.ndarray, n: np.ndarray, total: np.ndarray) -> pa.RecordBatc
     q = np.stack([tree.mixed(keys, bit, np.full(len(keys), np.nan)) for bit in range(8)], 1).astype(np.float32)
     node, n0, n1, logs = (np.concatenate(x) for x in zip(*tree.edge))
     node, at = np.unique(node >> np.uint64(16) << U8 | node & np.uint64(255), return_inverse=True)
-    sums = [np.bincount(at, x, len(node)).astype(float) for x in (n0, n1, logs)]
+    sums = [np.zeros(len(node), np.int64) for _ in range(3)]
+    for x, part in zip(sums, (n0, n1, np.rint(logs * LOGS))):
+        np.add.at(x, at, part.astype(np.int64))
     k, m = len(keys), len(node)
     both = lambda a, b, kind: pa.array(np.concatenate([a, b]).astype(kind))
     packed = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(np.arange(k + 1, dtype=np.int32) * 32), pa.py_buffer(q.tobytes())])
     made = [
         both(np.zeros(k), np.ones(m), np.int32), both(keys, node, np.int64), both(total, np.zeros(m), np.int64),
-        *(both(np.zeros(k), x, float) for x in sums), pa.concat_arrays([packed, pa.nulls(m, pa.binary())]),
+        *(both(np.zeros(k), x, np.int64) for x in sums), pa.concat_arrays([packed, pa.nulls(m, pa.binary())]),
     ]
     return pa.RecordBatch.from_arrays(made, names=[x.split()[0] for x in SUBTREES.split(", ")])
 
 
 #: kind 0: a byte run, its total, and its bits' chances (float32) under contexts of LEAST bytes and more; kind 1: a node of LEAST - 1 bytes, parts of its sums.
-SUBTREES = "kind int, key long, total long, n0 double, n1 double, logs double, q binary"
+SUBTREES = "kind int, key long, total long, n0 long, n1 long, logs long, q binary"
 
 
-def run_scores(runs: DataFrame) -> DataFrame:
-    """key, total, value: log10 P(byte | context) of every byte run of ``runs`` (key, n, total), by the whole tree of the counts n."""
+def run_scores(runs: DataFrame, cut: Callable) -> DataFrame:
+    """key, total, value: log10 P(byte | context), in units, of every byte run of ``runs`` (key, n, total), by the whole tree of the counts n."""
     prefix = np.uint64(8 * (DEPTH + 1 - LEAST))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, wait = [], 0, GROUP
-        for batch in pieces(batches):
+        for batch in batches:
             held.append([batch.column(i).to_numpy() for i in range(3)])
             size += batch.num_rows
             if size >= wait:
@@ -302,23 +325,23 @@ def run_scores(runs: DataFrame) -> DataFrame:
     dealt = runs.select("key", "n", "total").repartition(F.shiftright("key", int(prefix))).sortWithinPartitions("key")
     rows = cut(dealt.mapInArrow(run, SUBTREES), "subtrees")
     sums = rows.filter("kind = 1").groupBy("key").agg(*(F.sum(x).alias(x) for x in ("n0", "n1", "logs"))).toArrow()  # 256 * 255 rows at most
-    node, *sums = (sums.column(x).to_numpy() for x in ("key", "n0", "n1", "logs"))
+    node, n0, n1, logs = (sums.column(x).to_numpy() for x in ("key", "n0", "n1", "logs"))
     order = np.argsort(node)
-    shared = Shared(runs.sparkSession, Top(node[order].astype(np.uint64), *(x[order] for x in sums)))
+    shared = Shared(runs.sparkSession, Top(node[order].astype(np.uint64), *(x[order].astype(float) for x in (n0, n1, logs / LOGS))))
 
     def finish(batch: pa.RecordBatch) -> dict:
         q = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, 8)
-        return {"key": batch.column(0), "total": batch.column(1), "value": shared.value.log10(batch.column(0).to_numpy().astype(np.uint64), q)}
+        return {"key": batch.column(0), "total": batch.column(1), "value": fixed(shared.value.log10(batch.column(0).to_numpy().astype(np.uint64), q))}
 
-    return cut(over_batches(rows.filter("kind = 0").select("key", "total", "q"), "key long, total long, value double", finish), "run-scores")
+    return cut(over_batches(rows.filter("kind = 0").select("key", "total", "q"), "key long, total long, value long", finish), "run-scores")
 
 
 class Words:
-    """Numbers words: their hash, and their log10 base probability if they are among the frequent ones."""
+    """Numbers words: their hash, and their log10 base probability (in halves) if they are among the frequent ones."""
 
     def __init__(self, base: dict, limit: int = 150_000):
         self.base, self.limit, self.ids = base, limit, {}
-        self.hashes, self.logs, self.rare = np.zeros(limit, np.int64), np.zeros(limit), np.zeros(limit, bool)
+        self.hashes, self.logs, self.rare = np.zeros(limit, np.int64), np.zeros((2, limit), np.int64), np.zeros(limit, bool)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         new = set(words)
@@ -327,7 +350,7 @@ class Words:
         new.difference_update(self.ids)
         at, end = len(self.ids), len(self.ids) + len(new)
         if end > len(self.hashes):
-            self.hashes, self.logs, self.rare = np.zeros(end, np.int64), np.zeros(end), np.zeros(end, bool)
+            self.hashes, self.logs, self.rare = np.zeros(end, np.int64), np.zeros((2, end), np.int64), np.zeros(end, bool)
         if new:
             new = list(new)
             keys, counts = self.base["keys"], self.base["counts"]
@@ -337,42 +360,44 @@ class Words:
                 i = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
                 c = np.where(keys[i] == hashes, counts[i], 0)
             self.hashes[at:end], self.rare[at:end] = hashes, c == 0
-            self.logs[at:end] = np.where(c > 0, np.log10((c + 1) / (self.base["n"] + self.base["v"] + 1)), 0.0)
+            self.logs[:, at:end] = np.where(c > 0, halves(np.log10((c + 1) / (self.base["n"] + self.base["v"] + 1))), 0)
             self.ids.update(zip(new, range(at, end)))
         return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
 
 
 class Frequent:
-    """log10 P(byte | context) of the byte runs that are shipped, NaN of others."""
+    """log10 P(byte | context), in units, of the byte runs that are shipped, and FAR for others."""
+
+    FAR = 1  # logarithms are not above 0
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = keys.astype(np.uint64), values.astype(np.float32)
+        self.keys, self.values = keys.astype(np.uint64), values.astype(np.int64)
 
-    def log10(self, keys: np.ndarray) -> np.ndarray:
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
-            return np.full(len(keys), np.nan)
+            return np.full(len(keys), self.FAR)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], np.nan)
+        return np.where(self.keys[at] == keys, self.values[at], self.FAR)
 
 
 class Scores:
-    """Scores byte runs; runs met before come from a table with one entry per slot."""
+    """Looks byte runs up; runs met before come from a table with one entry per slot."""
 
     BITS = 21
 
-    def __init__(self, tree: Tree | Frequent):
-        self.tree = tree
+    def __init__(self, known: Frequent | Tree):
+        self.known = known
         self.keys = np.full(1 << self.BITS, np.uint64((1 << 64) - 1))
-        self.values = np.zeros(1 << self.BITS, np.float32)
+        self.values = np.zeros(1 << self.BITS, np.int64)
 
     def each(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(key and score of every position, number of positions of each text)."""
         keys, sizes = run_keys(texts)
         slots = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).astype(np.int64)
-        values, miss = self.values[slots].astype(float), np.flatnonzero(self.keys[slots] != keys)
+        values, miss = self.values[slots], np.flatnonzero(self.keys[slots] != keys)
         if len(miss):
             new = np.unique(keys[miss])
-            found = self.tree.log10(new)
+            found = self.known(new)
             values[miss] = found[np.searchsorted(new, keys[miss])]
             slot = (new * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).astype(np.int64)
             self.keys[slot], self.values[slot] = new, found
@@ -380,32 +405,37 @@ class Scores:
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         _, values, sizes = self.each(texts)
-        return np.add.reduceat(values, np.cumsum(sizes) - sizes) if len(sizes) else values
+        return np.add.reduceat(values, np.cumsum(sizes) - sizes) / UNIT if len(sizes) else values
 
 
-def train(documents: DataFrame) -> tuple[Frequent, dict, DataFrame]:
+def train(documents: DataFrame, cut: Callable) -> tuple[Frequent, dict, DataFrame]:
     """(the frequent runs' scores; the frequent words' keys, counts, N and V; kind, key, x of all words (count) and runs (score)) from documents (text, train)."""
     stats = cut(counted(documents), "counts")
-    words, runs = stats.filter("kind = 0").select("key", "n"), run_scores(stats.filter("kind = 1"))
+    words, runs = stats.filter("kind = 0").select("key", "n"), run_scores(stats.filter("kind = 1"), cut)
     frequent = Frequent(*most_frequent(runs.select("key", F.col("value").alias("n"), F.col("total").alias("rank")), MAX_RUNS))
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     keys, counts = most_frequent(words.withColumn("rank", F.col("n")), MAX_WORDS)
-    known = words.select(F.lit(0).alias("kind"), "key", F.col("n").cast("double").alias("x")).unionByName(runs.select(F.lit(1).alias("kind"), "key", F.col("value").alias("x")))
+    known = words.select(F.lit(0).alias("kind"), "key", F.col("n").alias("x")).unionByName(runs.select(F.lit(1).alias("kind"), "key", F.col("value").alias("x")))
     return frequent, {"keys": keys, "counts": counts, "n": totals["n"], "v": totals["v"]}, known
 
 
 def language_model_scores(documents: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes of every document."""
+    with Scratch(documents.sparkSession) as scratch:
+        return cut(scored(documents, key, text, modulus, held, scratch), "language-model-scores")
+
+
+def scored(documents: DataFrame, key: str, text: str, modulus: int, held: int, cut: Callable) -> DataFrame:
     docs = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"))
-    docs = docs.withColumn("train", crc32_mod("doc_id", modulus) != held)
-    frequent, base, known = train(docs)
+    docs = docs.withColumn("train", crc32_mod("doc_id", modulus) != held).withColumn("row", F.monotonically_increasing_id())
+    frequent, base, known = train(docs, cut)
     shared = Shared(documents.sparkSession, (frequent, base))
-    schema = "row long, doc_id long, train boolean, n_bytes long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>, runs array<long>, run_times array<long>"
+    schema = "row long, doc_id long, train boolean, n_bytes long, n_tokens long, known long, high long, low long, score long, rare array<long>, times array<long>, runs array<long>, run_times array<long>"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, base = shared.value
-        scores, words, draw = Scores(frequent), Words(base), np.random.default_rng()
+        scores, words = Scores(frequent), Words(base)
         for batch in pieces(batches):
             at = 0
             for some in parts([t.lower() for t in blobs(batch.column(1))]):
@@ -419,29 +449,32 @@ def language_model_scores(documents: DataFrame, key: str = "doc_id", text: str =
                 pairs, times = np.unique(np.repeat(np.arange(n), sizes)[rare] * most + ids[rare], return_counts=True)
                 lists = lambda owner, x: pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(x, pa.int64()))
                 keys, values, lengths = scores.each(some)
-                far = np.isnan(values)
+                far = values == Frequent.FAR
                 runs, run_times = np.unique(np.repeat(np.arange(n, dtype=np.uint64), lengths)[far] << np.uint64(48) | keys[far], return_counts=True)  # 48 bits hold a run
                 made = [
-                    pa.array(draw.integers(0, 1 << 63, n)), batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array([len(t) for t in some], pa.int64()),
-                    pa.array(sizes), pa.array(sizes - np.add.reduceat(rare.astype(np.int64), starts)), pa.array(np.add.reduceat(words.logs[ids], starts)),
-                    pa.array(np.add.reduceat(np.where(far, 0.0, values), np.cumsum(lengths) - lengths)), lists(pairs // most, words.hashes[pairs % most]), lists(pairs // most, times),
+                    batch.column(3).slice(at, n), batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array([len(t) for t in some], pa.int64()),
+                    pa.array(sizes), pa.array(sizes - np.add.reduceat(rare.astype(np.int64), starts)), *(pa.array(np.add.reduceat(x[ids], starts)) for x in words.logs),
+                    pa.array(np.add.reduceat(np.where(far, 0, values), np.cumsum(lengths) - lengths)), lists(pairs // most, words.hashes[pairs % most]), lists(pairs // most, times),
                     lists((runs >> np.uint64(48)).astype(np.int64), (runs & np.uint64((1 << 48) - 1)).astype(np.int64)), lists((runs >> np.uint64(48)).astype(np.int64), run_times),
                 ]
                 yield pa.RecordBatch.from_arrays(made, names=names)
                 at += n
 
-    rows = cut(docs.mapInArrow(run, schema), "scores")  # a row's number is drawn once, when it is written
+    rows = cut(docs.mapInArrow(run, schema), "scores")  # a row's number is made once, when it is written
     pairs = lambda kind, key, times: rows.filter(F.size(key) > 0).select("row", F.lit(kind).alias("kind"), F.explode(F.arrays_zip(F.col(key).alias("key"), F.col(times).alias("times"))).alias("p")).select("row", "kind", "p.key", "p.times")
     met = pairs(0, "rare", "times").unionByName(pairs(1, "runs", "run_times")).join(known, ["kind", "key"], "left")
-    n, size, word = F.coalesce("x", F.lit(0.0)), base["n"] + base["v"] + 1, F.col("kind") == 0
+    n, size, word = F.coalesce("x", F.lit(0)), base["n"] + base["v"] + 1, F.col("kind") == 0
+    met = met.withColumn("log", F.when(word, F.log10((n + 1) / F.lit(float(size))))).withColumn("high", F.rint(F.col("log") * HIGH))
+    met = met.withColumn("low", F.rint((F.col("log") - F.col("high") / HIGH) * LOW).cast("long")).withColumn("high", F.col("high").cast("long"))
     more = met.groupBy("row").agg(
-        F.sum(F.when(word, F.col("times") * F.log10((n + 1) / F.lit(float(size))))).alias("more"), F.sum(F.when(word & (n > 0), F.col("times")).otherwise(0)).alias("found"),
+        F.sum(F.col("times") * F.col("high")).alias("more_high"), F.sum(F.col("times") * F.col("low")).alias("more_low"), F.sum(F.when(word & (n > 0), F.col("times")).otherwise(0)).alias("found"),
         F.sum(F.when(~word, F.col("times") * F.col("x"))).alias("rest"),
     )
     out = rows.drop("rare", "times", "runs", "run_times").join(more, "row", "left")
+    whole = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return out.select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
-        F.lit(base["n"]).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"), "n_bytes",
+        F.lit(base["n"]).cast("long").alias("train_tokens"), (whole("high", "more_high") / HIGH + whole("low", "more_low") / LOW).alias("base_score"), (whole("score", "rest") / UNIT).alias("score"), "n_bytes",
     )
 
 

@@ -118,3 +118,20 @@ def test_every_context_keeps_its_node(spark, monkeypatch):
     for most in (C.MAX_RUNS, 20, 0):  # runs shipped: all, a few, none
         monkeypatch.setattr(C, "MAX_RUNS", most)
         assert np.allclose(sorted(r.score for r in C.language_model_scores(df).collect()), want, rtol=1e-4, atol=1e-3)
+
+
+def test_equal_texts_have_equal_scores(spark, monkeypatch):
+    data = [t for _, t in rows(60) if t]
+    df = spark.createDataFrame([(i, t, 0.0, "x") for i, t in enumerate(data * 7)], SCHEMA).repartition(5)
+    monkeypatch.setattr(C, "MAX_RUNS", 50)
+    monkeypatch.setattr(C, "MAX_WORDS", 5)
+    first, again = ({r.doc_id: (r.base_score, r.score) for r in C.language_model_scores(df.repartition(n)).collect()} for n in (3, 7))
+    assert first == again
+    for i in range(len(data)):
+        assert len({first[i + k * len(data)] for k in range(7)}) == 1
+
+
+def test_long_texts(spark):
+    texts = ["a" * 1_000_000, " " * 1_000_000, "ab " * 200_000, "x"]
+    got = {r.doc_id: r for r in C.language_model_scores(spark.createDataFrame([(i, t, 0.0, "x") for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert [got[i].n_tokens for i in range(4)] == [2, 1, 200_001, 2] and all(r.score < 0 for r in got.values())
