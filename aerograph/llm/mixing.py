@@ -20,11 +20,13 @@ Runs with equal input and seed agree. Extra columns are ignored by ``mix`` and c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import Scratch, cut, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3  # a document or source is taken so many times at most
@@ -35,29 +37,45 @@ MAX_BITS = 12
 
 
 def word_count(text: Column) -> Column:
-    """The number of words ``[^\\x20\\x09-\\x0D]+`` of a text (null: 0): the white-space runs that a word follows, and a first word."""
-    blank = r"[\x20\x09-\x0D]+"
-    trimmed = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), f"{blank}\\z", ""), f"\\A{blank}", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.regexp_count(trimmed, F.lit(blank)) + 1).cast("long")
-
-
-def targets(sizes: DataFrame) -> DataFrame:
+    """The number of words ``[^\\x20\\x09-\\x0D]+`` of a text (null: 0): a first one, and those that start after white space. Linear in the text."""
+    blank = r"[\x20\x09-\x0D]"
+    first = F.substring(text, 1, 1).rlike(blank.replace("[", "[^")).cast("int")
+    return F.coalesce(first + F.regexp_count(text, F.lit(blank + blank.replace("[", "[^"))), F.lit(0)).cast("long")
+
+
+def ranked(sizes: DataFrame, cut: Callable) -> DataFrame:
+    """``sizes`` (one row per source) with rank, from 1: sources by code point, null last. Range partitions are numbered apart and then offset."""
+    order = [F.col("source").isNull(), F.col("source").cast("binary")]
+    dealt = cut(sizes.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged")
+    before, starts = 0, []
+    for r in dealt.groupBy("part").count().orderBy("part").collect():  # one row per partition
+        starts.append((r["part"], before))
+        before += r["count"]
+    starts = sizes.sparkSession.createDataFrame(starts, "part int, before long")
+    numbered = dealt.withColumn("rank", F.row_number().over(W.partitionBy("part").orderBy(*order)))
+    return numbered.join(starts, "part").withColumn("rank", F.col("rank") + F.col("before")).drop("part", "before")
+
+
+def targets(sizes: DataFrame, cut: Callable) -> DataFrame:
     """source, source_size, target from (source, source_size); one row per source.
 
-    With caps c = MOST * size, weights w and running sums in order of c / w, the level
-    is the first (T - sum of caps before) / (W - sum of weights before) that no later cap is below.
+    Shares are ``level`` times the weight; sources above their cap get that, and the level rises until none is: a
+    few aggregates, each over all sources.
     """
-    order = W.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    ranked = sizes.withColumn("rank", F.row_number().over(order))
-    weight = F.when(F.pmod("rank", F.lit(3)) == 1, WEIGHTS[0]).when(F.pmod("rank", F.lit(3)) == 2, WEIGHTS[1]).otherwise(WEIGHTS[2])
-    ranked = ranked.withColumn("w", weight.cast("double")).withColumn("cap", (MOST * F.col("source_size")).cast("double"))
-    steps = W.orderBy((F.col("cap") / F.col("w")), "rank")
-    before = steps.rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    leveled = ranked.withColumn("level", level)
-    leveled = leveled.withColumn("level", F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.struct(F.col("cap") / F.col("w"), "rank", "level"))).over(whole)["level"])
-    return leveled.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
+    k = F.pmod("rank", F.lit(3))
+    rows = ranked(sizes, cut).withColumn("w", F.when(k == 1, WEIGHTS[0]).when(k == 2, WEIGHTS[1]).otherwise(WEIGHTS[2]).cast("long")).withColumn("cap", MOST * F.col("source_size"))
+    rows = cut(rows, "weights")
+    some = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("t"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
+    left, weight = some["t"], some["w"]  # the level is left / weight
+    while weight:
+        capped = rows.filter(F.col("cap").cast("decimal(38,0)") * F.lit(weight) < F.col("w").cast("decimal(38,0)") * F.lit(left)) if left else rows.limit(0)
+        held = capped.agg(F.coalesce(F.sum("cap"), F.lit(0)).alias("cap"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
+        now = (some["t"] - held["cap"], some["w"] - held["w"])
+        if now == (left, weight):
+            break
+        left, weight = now
+    level = left / weight if weight else float("inf")
+    return rows.select("source", "source_size", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("w")).alias("target"))
 
 
 def knapsack(sizes: list[int], counts: list[int], budget: int) -> list[int]:
@@ -122,21 +140,26 @@ def plan(counts: DataFrame, goals: DataFrame) -> DataFrame:
     return joined.groupBy("source").applyInPandas(fit, "source string, size long, docs long, base long, extra long")
 
 
-def numbered(documents: DataFrame, key: str, source: str, text: str, extra: list[str]) -> DataFrame:
-    """doc_id, source, size, h (the seeded hash), same (the text's hash) and other columns of ``documents``."""
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns and of which are null."""
+    return F.xxhash64(*df.columns, *(df[c].isNull() for c in df.columns))
+
+
+def numbered(documents: DataFrame, key: str, source: str, text: str) -> DataFrame:
+    """row, doc_id, source, size, h (the seeded hash) and same (the text's hash) of ``documents``; rows with equal row are repeated ones."""
+    key, source, text = documents[key], documents[source], documents[text]
     return documents.select(
-        documents[key].alias("doc_id"), documents[source].alias("source"), word_count(documents[text]).alias("size"),
-        F.xxhash64(documents[key], F.lit(SEED)).alias("h"), F.xxhash64(documents[text], F.lit(SEED + 1)).alias("same"), *extra,
+        row_hash(documents).alias("row"), key.alias("doc_id"), source.alias("source"), word_count(text).alias("size"),
+        F.xxhash64(key, F.lit(SEED)).alias("h"), F.xxhash64(text, F.lit(SEED + 1)).alias("same"),
     )
 
 
-def copies(rows: DataFrame) -> DataFrame:
+def copies(rows: DataFrame, cut: Callable) -> DataFrame:
     """``rows`` with source_size, target and copies (how often the mix takes each)."""
     counts = cut(rows.groupBy("source", "size").agg(F.count("*").alias("docs")), "sizes")
-    goals = cut(targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))), "targets")
+    goals = cut(targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size")), cut), "targets")
     wanted = cut(plan(counts, goals), "plan")
     some = wanted.select("source", "size", "docs", "base", "extra")
-    on = lambda a, b: a["source"].eqNullSafe(b["source"]) & (a["size"] == b["size"])
     # Buckets of about PER_BUCKET documents, by the hash's highest bits.
     bits = F.least(F.lit(MAX_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("docs") / PER_BUCKET)))).cast("int")
     placed = rows.join(some.withColumnRenamed("source", "s").withColumnRenamed("size", "z"), F.expr("source <=> s AND size = z")).drop("s", "z")
@@ -149,7 +172,7 @@ def copies(rows: DataFrame) -> DataFrame:
     cutoff = filled.filter("before < extra AND before + n >= extra").select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("bucket").alias("last"), (F.col("extra") - F.col("before")).alias("need"))
     cutoff = cut(cutoff, "cutoff")
     judged = placed.join(cutoff, F.expr("source <=> s AND size = z"), "left").drop("s", "z")
-    at = W.partitionBy("source", "size", "bucket").orderBy("h", "doc_id", "same")
+    at = W.partitionBy("source", "size", "bucket").orderBy("h", "doc_id", "same", "row")
     edge = judged.filter("bucket = last").withColumn("more", (F.row_number().over(at) <= F.col("need")).cast("int"))
     rest = judged.filter("last IS NULL OR bucket <> last").withColumn("more", F.when(F.col("last").isNull(), (F.col("extra") > 0)).otherwise(F.col("bucket") < F.col("last")).cast("int"))
     made = edge.unionByName(rest).withColumn("copies", F.col("base") + F.col("more")).drop("docs", "base", "extra", "bucket", "last", "need", "more", "h", "same")
@@ -159,15 +182,23 @@ def copies(rows: DataFrame) -> DataFrame:
 
 def mix(documents: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """doc_id, size, source_size, target, taken of every row."""
-    rows = cut(numbered(documents, key, source, text, []), "numbered")
-    return copies(rows).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    with Scratch(documents.sparkSession) as scratch:
+        rows = scratch(numbered(documents, key, source, text), "numbered")
+        return cut(copies(rows, scratch).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")), "mix")
 
 
 def mixed(documents: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The rows of the mix with all columns of ``documents`` and ``__copies``, how often each is taken (1 to 3)."""
-    whole = F.struct(*(documents[c] for c in documents.columns)).alias("__row")
-    rows = numbered(documents, key, source, text, [whole])
-    return copies(rows).filter("copies > 0").select("__row.*", F.col("copies").alias("__copies"))
+    """The rows of the mix with all columns of ``documents`` and ``__copies``, how often each is taken (1 to 3, or more for a repeated row, which stands once here).
+
+    Only ids, hashes and sizes ride through the choice; whole rows meet their number of copies at the end.
+    """
+    with Scratch(documents.sparkSession) as scratch:
+        rows = scratch(numbered(documents, key, source, text), "numbered")
+        taken = copies(rows, scratch).groupBy("row").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__times"))
+        taken = cut(taken.filter("__copies > 0").withColumnRenamed("row", "__row"), "taken")
+    found = documents.withColumn("__row", row_hash(documents)).join(taken, "__row")
+    once, several = found.filter("__times = 1"), found.filter("__times > 1").dropDuplicates(["__row"])
+    return once.unionByName(several).select(*documents.columns, "__copies")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

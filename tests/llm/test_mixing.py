@@ -80,3 +80,18 @@ def test_all_sizes_are_fitted():
     sizes = [1002 + 2 * k + (k == 224) for k in range(300)]
     base, extra = M.plan_source(sizes, [1] * len(sizes), 2951)
     assert base == 0 and all(0 <= e <= 1 for e in extra) and sum(s * e for s, e in zip(sizes, extra)) == 2951
+
+
+def test_long_texts_are_counted_in_linear_time(spark):
+    texts = [" " * 1_000_000, "a" * 1_000_000, " " * 500_000 + "a" + " " * 500_000 + "b" + " " * 500_000, "ab " * 300_000, "\u3000a\x1cb\x0bc"]
+    got = {r.doc_id: r.size for r in M.mix(spark.createDataFrame([(i, t, "s", 0) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert [got[i] for i in range(5)] == [0, 1, 2, 300_000, 2]
+
+
+def test_many_sources(spark):
+    rng = random.Random(8)
+    sizes = {f"s{i}": rng.choice([0, 1, 5, 100, 4000]) + rng.randrange(50) for i in range(400)} | {None: 70, "Z": 10, "\U0001f600": 900, "\uffee": 800}
+    df = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long").repartition(6)
+    got = {r.source: r.target for r in M.targets(df, M.cut).collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
