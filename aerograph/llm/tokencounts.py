@@ -12,13 +12,16 @@ bounds is a merge. A token that crosses a boundary goes to one section, by ``rul
 
 Every document gives at least one section (null fields count as empty); sections without
 tokens are kept with 0. Rows are independent, so repeated rows give repeated
-results; the result holds only the named columns. The vocabulary file is a parameter: the driver
+results; the result holds only the named columns. White-space runs of over ``LONG`` characters are parted by the
+pattern's own rule (the last character goes with what follows) before it runs, since its matcher cannot hold runs of
+any length; a pattern of one's own must part them so too. The vocabulary file is a parameter: the driver
 reads it and ships it to the workers.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,9 @@ from .common import blobs, over_batches, table
 RULES = ("most", "first", "last")
 #: The public pattern by which this family of vocabularies parts text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The matcher's white space.
+BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG = 10_000
 SCHEMA = "doc_id long, section int, field int, start long, end long, n_tokens long, n_crossing long"
 
 
@@ -48,13 +54,23 @@ class Encoder:
         import tiktoken
 
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.runs = re.compile(f"{BLANK}{{{LONG},}}")
         self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             self.lengths[rank] = len(token)
 
+    def tokens(self, text: str) -> list[int]:
+        out, at = [], 0
+        for m in self.runs.finditer(text) if len(text) >= LONG else ():
+            end = m.end() - (m.end() < len(text))
+            out += self.encoding.encode_ordinary(text[at : m.start()])
+            out += self.encoding._encode_single_piece(text[m.start() : end])
+            at = end
+        return out + self.encoding.encode_ordinary(text[at:])
+
     def ends(self, text: str) -> np.ndarray:
         """The byte offset at which each token ends."""
-        return np.cumsum(self.lengths[np.asarray(self.encoding.encode_ordinary(text), np.int64)])
+        return np.cumsum(self.lengths[np.asarray(self.tokens(text), np.int64)])
 
 
 def sections_of(fields: list[bytes], separator: bytes, lines: bool) -> tuple[bytes, np.ndarray, np.ndarray]:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from aerograph.llm import tokencounts as T
@@ -60,3 +62,20 @@ def test_empty_and_errors(spark):
     assert T.token_counts(df, "doc_id", ["text"]).count() == 0
     with pytest.raises(ValueError):
         T.token_counts(df, "doc_id", ["text"], rule="other")
+
+
+def test_long_white_space_gives_the_patterns_tokens(monkeypatch):
+    rng, ranks = random.Random(1), T.read_ranks(T.default_vocabulary())
+    signs = ["a", "b9", " ", " ", "\n", "\t", "\u3000", "\u2003", "\x85", "\xa0", "\x1c", "\u200b", "\u180e", "!", "'s", "\u00e9", "\r\n"]
+    monkeypatch.setattr(T, "LONG", 3)
+    encoder = T.Encoder(ranks, T.PATTERN)
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(30)))
+        assert encoder.tokens(text) == encoder.encoding.encode_ordinary(text)
+
+
+def test_long_texts(spark):
+    texts = [" " * 1_000_000, "a" * 1_000_000, "\n" * 1_000_000 + "x", "!" * 1_000_000]
+    df = spark.createDataFrame([(i, t, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in T.token_counts(df, "doc_id", ["text"]).collect()}
+    assert [got[i].end for i in range(4)] == [len(t) for t in texts] and all(r.n_tokens > 0 for r in got.values())
