@@ -15,14 +15,15 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import over_batches, table
+from .common import Shared, cut, over_batches, table
 
-#: At most so many rules are shipped to every worker.
+#: At most so many rules are shipped to every worker; more are taken in further passes over the URLs.
 MAX_RULES = 1_000_000
 TOKEN = re.compile(r"[a-z0-9]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -107,38 +108,49 @@ def index_rules(rules, counts: dict[str, int]) -> tuple[dict[str, list[int]], li
     return by_token, always
 
 
-def url_verdicts(df: DataFrame, key: str = "page_id", url: str = "url", host_rules=HOST_RULES, patterns=PATTERNS) -> DataFrame:
-    """page_id, host, path, rule, verdict, pattern (the first pattern that fits, where no rule does) of every row."""
+def judged(df: DataFrame, host_rules: list[HostRule], patterns: list[Pattern], first: bool) -> DataFrame:
+    """One pass over page_id, url, host, path, rule, action and pattern: what fits better than the passes before found."""
     rules = [*host_rules, *patterns]
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    by_token, always = index_rules(rules, rule_token_counts(df, url, set().union(*(r.tokens() for r in rules))))
+    by_token, always = index_rules(rules, rule_token_counts(df, "url", set().union(*(r.tokens() for r in rules))))
     sources, n_hosts = [r.regex() for r in rules], len(host_rules)
+    shared = Shared(df.sparkSession, (rules, by_token, always, sources))
 
     def step(batch: pa.RecordBatch) -> dict:
+        rules, by_token, always, sources = shared.value
         compiled: dict[int, re.Pattern] = {}
-        out = {"page_id": batch.column(0), "host": [], "path": [], "rule": [], "verdict": [], "pattern": []}
-        for raw in batch.column(1).to_pylist():
+        out = {"page_id": batch.column(0), "url": batch.column(1), "host": [], "path": [], "rule": [], "action": [], "pattern": []}
+        before = zip(*(batch.column(i).to_pylist() for i in (4, 5, 6))) if not first else repeat((None, None, None))
+        for raw, (rule, action, pattern) in zip(batch.column(1).to_pylist(), before):
             host, path = split_url(raw)
             low = raw.translate(LOWER) if raw else ""
             tokens = set(TOKEN.findall(low))
-            best, blocked = None, None
             for k in sorted([*always, *(k for t in tokens & by_token.keys() for k in by_token[t])]):
                 if k not in compiled:
                     compiled[k] = re.compile(sources[k], re.DOTALL)
                 if k < n_hosts:
-                    if compiled[k].match(f"{host}\0{path}") and (best is None or len(rules[k].name) > len(best.name)):
-                        best = rules[k]
-                elif blocked is None and compiled[k].search(low):
-                    blocked = rules[k].text
-            out["host"].append(host)
-            out["path"].append(path)
-            out["rule"].append(best and best.name)
-            out["verdict"].append(best.action if best else "block" if blocked else "allow")
-            out["pattern"].append(None if best else blocked)
+                    if compiled[k].match(f"{host}\0{path}") and (rule is None or len(rules[k].name) > len(rule)):
+                        rule, action = rules[k].name, rules[k].action
+                elif pattern is None and compiled[k].search(low):
+                    pattern = rules[k].text
+            for name, x in zip(("host", "path", "rule", "action", "pattern"), (host, path, rule, action, pattern)):
+                out[name].append(x)
         return out
 
-    return over_batches(df.select(df[key], df[url]), "page_id long, host string, path string, rule string, verdict string, pattern string", step)
+    return over_batches(df, "page_id long, url string, host string, path string, rule string, action string, pattern string", step)
+
+
+def url_verdicts(df: DataFrame, key: str = "page_id", url: str = "url", host_rules=HOST_RULES, patterns=PATTERNS) -> DataFrame:
+    """page_id, host, path, rule, verdict, pattern (the first pattern that fits, where no rule does) of every row.
+
+    Of host/path rules with names of equal length the first in order decides.
+    """
+    rules, out, first = [*host_rules, *patterns], df.select(df[key].alias("page_id"), df[url].alias("url")), True
+    for at in range(0, max(1, len(rules)), MAX_RULES):
+        some = rules[at : at + MAX_RULES]
+        out = judged(out if first else cut(out, "judged"), [r for r in some if isinstance(r, HostRule)], [r for r in some if isinstance(r, Pattern)], first)
+        first = False
+    verdict = F.coalesce("action", F.when(F.col("pattern").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("rule").isNull(), F.col("pattern")).alias("pattern"))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,8 +132,14 @@ def test_rule_tokens_are_whole():
     assert urls.HostRule("block", "example.org", "/en/1").tokens() == {"example", "org", "en"}
     filed, always = urls.index_rules([urls.HostRule("block", "example.org", "/es/"), urls.Pattern("free")], {"org": 5, "example": 5, "es": 2})
     assert filed == {"es": [0]} and always == [1]
-    with pytest.raises(ValueError):
-        urls.url_verdicts(None, host_rules=(), patterns=range(urls.MAX_RULES + 1))
+
+
+@pytest.mark.parametrize("most", [1, 2, 5])
+def test_rules_beyond_a_pass(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "MAX_RULES", most)
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)], "page_id long, url string, host string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.url_verdicts(df).collect()}
+    assert got == {i: brute_url(u) for i, u in enumerate(URLS)}
 
 
 def test_pii_spans_reach_the_real_end():
