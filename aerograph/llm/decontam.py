@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, blobs, over_batches, pieces, table
+from .common import Shared, blobs, cut, over_batches, pieces, table
 
 ALPHA, OVERLAP, PART_OVERLAP, RUN = 0.7, 0.8, 0.5, 5
 K1, B = 1.2, 0.75
@@ -225,17 +225,17 @@ def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``documents`` (all columns) that hold no benchmark item."""
-    i = documents.columns.index(text)
-    for index in indexes(benchmark, count=lambda v, docs=documents: word_counts(docs, text, v)):
+    """The rows of ``documents`` (all columns) that hold no benchmark item. Words are counted in all documents, and passes are cut from each other."""
+    i, left = documents.columns.index(text), documents
+    for k, index in enumerate(indexes(benchmark, count=lambda v: word_counts(documents, text, v))):
         shared = Shared(documents.sparkSession, index)
 
         def run(batches, shared=shared):
             for batch in pieces(batches):
                 yield batch.filter(pa.array([not shared.value.search(raw) for raw in blobs(batch.column(i))], pa.bool_()))
 
-        documents = documents.mapInArrow(run, documents.schema)
-    return documents
+        left = (cut(left, "clean") if k else left).mapInArrow(run, documents.schema)
+    return left
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
