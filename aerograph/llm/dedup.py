@@ -315,9 +315,9 @@ def candidate_groups(classes: DataFrame, percent: int, cut: Callable) -> tuple[D
     need = F.when(n <= K, F.greatest(F.lit(1), whole)).otherwise(surely_shared(percent))
     prefix = (k - need + 1 - (k - F.size("shared"))).cast("int")  # after the values that the class alone retains
     kept = cut(per.withColumn("prefix", prefix).filter("prefix > 0").select("node", "n", "weight", F.explode(F.slice("shared", F.lit(1), F.col("prefix"))["value"]).alias("value")), "prefix")
-    # The most central member is the hub of most of its lists, so that a group has few pairs more than members.
+    # Merge joins by value, which split a value that very many classes retain. The most central member is the hub of most of its lists, so that a group has few pairs more than members.
     hubs = kept.groupBy("value").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("hub"), F.count("*").alias("members")).filter("members > 1")
-    pairs = kept.join(hubs, "value").filter("node <> hub.node AND 100 * least(n, hub.n) >= {0} * greatest(n, hub.n)".format(percent))
+    pairs = kept.join(hubs.hint("merge"), "value").filter("node <> hub.node AND 100 * least(n, hub.n) >= {0} * greatest(n, hub.n)".format(percent))
     pairs = pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
     for end in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}")), end)
@@ -325,10 +325,10 @@ def candidate_groups(classes: DataFrame, percent: int, cut: Callable) -> tuple[D
     groups = components(near, "groups", cut)
 
     # Lists of three members or more that these pairs leave in parts. Lists with the same members are compared once.
-    open_lists = kept.join(hubs.filter("members > 2").select("value"), "value").join(groups, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("known"), F.least("n", F.lit(K)).alias("held"))
+    open_lists = kept.join(hubs.filter("members > 2").select("value").hint("merge"), "value").join(groups, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("known"), F.least("n", F.lit(K)).alias("held"))
     several = open_lists.groupBy("value").agg(F.min("known").alias("x"), F.max("known").alias("y"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("h"), F.min("node").alias("m")).filter("x <> y")
     several = several.groupBy("c", "h", "m").agg(F.min("value").alias("value")).select("value")
-    members = cut(open_lists.join(several, "value"), "open")
+    members = cut(open_lists.join(several.hint("merge"), "value"), "open")
     runs = members.join(parted(members, "value"), "value").join(classes.select("node", "sketch"), "node").withColumns({"piece": F.lit(0), "vals": F.col("sketch")}).drop("sketch")
     more = cut(by_run(facing(runs), ["value", "i", "j"], percent, False).distinct(), "near-more")
     return near.unionByName(more), extended(groups, more, "groups", cut)
