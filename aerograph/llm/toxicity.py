@@ -7,8 +7,9 @@
    under the language model picks the restored word.
 3. Restored words are looked up in toxicity rates learned from labelled rows: a word's
    rate is smoothed by the share of toxic word types among its prefixes, so that unseen
-   inflections inherit from their stem. A text's score is its most toxic word's rate, or
-   the toxic rate of training texts without such words.
+   inflections inherit from their stem. A text's score joins the evidence of its distinct words as independent
+   causes (one minus the product of one minus each rate), of those words whose rate is .5 or more or, from ``WEAK`` on,
+   surely above the toxic rate of texts without such words (``SURE`` standard deviations), which is the least score.
 
 The classifier is fitted on about ``MAX_LABELLED`` labelled rows at most (where there are more, a
 share of them by the hash of doc_id); equal texts count once in it. Null and empty texts get the rate of texts
@@ -21,17 +22,19 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, blobs, crc32_mod, cut, over_batches, pieces, table
+from .common import Scratch, Shared, blobs, crc32_mod, cut, over_batches, pieces, table  # noqa: F401
 
 MAX_LABELLED = 200_000
 THRESHOLD = 0.7
-STRONG = 0.9
+STRONG, FIRM = 0.9, 0.8
+WEAK, SURE = 0.2, 5.0
 SMOOTH = 4.0  # a word's prior counts as so many texts
 PREFIXES = range(4, 9)  # lengths in bytes
 STATES = 28  # 0: boundary, 1-26: a-z, 27: any other letter
@@ -172,17 +175,16 @@ def prefixes(word: bytes) -> list[bytes]:
 class Scorer:
     def __init__(self, words: dict[bytes, float], stems: dict[bytes, float], base: float):
         self.words, self.stems, self.base = words, stems, base
-        self.roots = {p[:4] for p in (*stems, *(w for w, p in words.items() if p >= 0.5))}
+        self.roots = {p[:4] for p in (*stems, *(w for w, p in words.items() if p > 0))}
 
     def __call__(self, words: set[bytes]) -> float:
-        best = 0.0
-        for w in words:
-            if w[:4] in self.roots:
-                p = self.words.get(w)
-                if p is None:
-                    p = next((self.stems[x] for x in reversed(prefixes(w)) if x in self.stems), 0.0)
-                best = max(best, p)
-        return min(1.0, best if best >= 0.5 else self.base)
+        clean = 1.0
+        for w in sorted(x for x in words if x[:4] in self.roots):
+            p = self.words.get(w)
+            if p is None:
+                p = next((self.stems[x] for x in reversed(prefixes(w)) if x in self.stems), 0.0)
+            clean *= 1.0 - min(1.0, p)
+        return min(1.0, max(self.base, 1.0 - clean))
 
 
 def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -195,11 +197,11 @@ def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return text.join(F.broadcast(known), "doc_id").groupBy(F.xxhash64("text").alias("same"), "toxic").agg(F.first("text").alias("text"))  # MAX_LABELLED bounds the broadcast side
 
 
-def lexicon(rows: DataFrame, model: np.ndarray, explained: Scorer | None) -> tuple[dict[bytes, float], dict[bytes, float], float]:
-    """Word rates, stem rates and the toxic share of the rows that ``explained`` does not flag.
+def lexicon(rows: DataFrame, model: np.ndarray, explained: Scorer | None, cut: Callable) -> tuple[dict[bytes, float], dict[bytes, float], float, set[bytes]]:
+    """Word rates, stem rates, the toxic share of the rows that ``explained`` does not flag, and the sure words under a stem of FIRM or more.
 
-    Rates of .5 and more are collected, and the words that are exceptions to such a
-    stem; they come from labelled rows alone, so MAX_LABELLED bounds them.
+    Rates of .5 and more and weak but sure ones are collected, and the words that are exceptions to such a
+    stem (with a rate of 0); they come from labelled rows alone, so MAX_LABELLED bounds them.
     """
 
     def step(batch: pa.RecordBatch) -> dict:
@@ -223,26 +225,32 @@ def lexicon(rows: DataFrame, model: np.ndarray, explained: Scorer | None) -> tup
     stems = cut(stems.filter("rate >= 0.5"), "stems")
     own = (F.col("k") + SMOOTH * F.coalesce("rate", F.lit(base))) / (F.col("n") + SMOOTH)
     under = words.withColumn("stem", F.explode(heads)).join(stems, "stem").groupBy("word").agg(F.max_by("rate", F.octet_length("stem")).alias("rate"))
-    known = words.filter("2 * k > n").join(under, "word", "left").unionByName(words.filter("2 * k <= n").join(under, "word"))
-    known = known.select("word", own.alias("p"), F.col("rate").isNotNull().alias("stemmed")).filter("p >= 0.5 OR stemmed").toPandas()
-    return dict(zip(map(bytes, known["word"]), known["p"])), {bytes(r["stem"]): r["rate"] for r in stems.collect()}, base
+    n, k = F.col("n"), F.col("k")
+    sure = (own >= WEAK) & (k >= 3) & (k - n * base >= SURE * F.sqrt(n * base))
+    likely = words.filter((2 * k > n) | ((k >= 3) & (k - n * base >= SURE * F.sqrt(n * base))))
+    known = likely.join(under, "word", "left").unionByName(words.join(likely.select("word"), "word", "left_anti").join(under, "word"))
+    firm = (own >= 0.5) & sure & (F.coalesce("rate", F.lit(0.0)) >= FIRM)
+    known = known.select("word", F.when((own >= 0.5) | sure, own).otherwise(0.0).alias("p"), F.col("rate").isNotNull().alias("stemmed"), firm.alias("firm")).filter("p > 0 OR stemmed").toPandas()
+    words = dict(zip(map(bytes, known["word"]), known["p"]))
+    return words, {bytes(r["stem"]): r["rate"] for r in stems.collect()}, base, {bytes(w) for w in known["word"][known["firm"]]}
 
 
 def train(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Scorer]:
     """The language model of all texts, and the scorer fitted on labelled rows.
 
-    It is fitted twice: words and stems of the first fit with a rate of ``STRONG`` or more
-    explain the texts that hold them, and every other rate comes from the texts left over,
+    It is fitted twice: of the first fit, words with a rate of ``STRONG`` or more, sure words under a stem of
+    ``FIRM`` or more, and stems of ``STRONG`` or more explain the texts that hold them, and every other rate comes from the texts left over,
     so that words which merely stand beside toxic ones (as in copies) are not blamed.
     """
-    model = language_model(trigram_counts(documents, "text"))
-    rows = cut(labelled(documents, labels), "labelled")
-    words, stems, base = lexicon(rows, model, None)
-    strong = Scorer({w: p for w, p in words.items() if p >= STRONG or p < 0.5}, {p: r for p, r in stems.items() if r >= STRONG}, base)
-    more, more_stems, rest = lexicon(rows, model, strong)
-    clean = {w: p for w, p in words.items() if p < 0.5}
-    merged = clean | more | {w: p for w, p in words.items() if p >= STRONG}
-    return model, Scorer(merged, more_stems | strong.stems, min(0.49, rest))
+    with Scratch(documents.sparkSession) as cut:
+        model = language_model(trigram_counts(documents, "text"))
+        rows = cut(labelled(documents, labels), "labelled")
+        words, stems, base, firm = lexicon(rows, model, None, cut)
+        clear = {w: p for w, p in words.items() if p >= STRONG or w in firm}
+        clean = {w: p for w, p in words.items() if not p}
+        strong = Scorer(clean | clear, {p: r for p, r in stems.items() if r >= STRONG}, base)
+        more, more_stems, rest, _ = lexicon(rows, model, strong, cut)
+    return model, Scorer(clean | more | clear, more_stems | strong.stems, min(0.49, rest))
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
