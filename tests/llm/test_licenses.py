@@ -35,3 +35,25 @@ def test_scan(spark):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
     assert L.license_scan(df.limit(0)).count() == 0
     assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().toString()
+
+
+def test_notice_inside_a_longer_line(spark):
+    rows = [(1, "Some prose first! All rights reserved. And more prose after it, with many words"), (2, "All rights reserved."), (3, "a. b? it's mine. \nNothing here at all today. Released under the MIT License.\n"), (4, None)]
+    df = spark.createDataFrame([(d, t, "u", 0.0) for d, t in rows], SCHEMA)
+    plain = {tuple(r)[:4] for r in L.license_scan(df).collect()}
+    assert plain == {(2, "line", 0, "all-rights-reserved")}
+    more = {tuple(r)[:4] for r in L.license_scan(df, sentences=True).collect()} - plain
+    assert more == {(1, "sentence", 1, "all-rights-reserved"), (3, "sentence", 5, "mit-notice")}
+
+
+def test_whole_texts_and_own_templates(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(L.TEMPLATES.values())] + [(100, " " * 1_000_000), (101, "a" * 1_000_000), (102, "the license " * 100_000)]
+    df = spark.createDataFrame([(d, t, "u", 0.0) for d, t in rows], SCHEMA)
+    for small in (L.SMALL, 0):  # the index broadcast, and joined by a shuffle
+        monkeypatch.setattr(L, "SMALL", small)
+        got = L.license_scan(df).collect()
+        assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+    best = {r.doc_id: r.license for r in sorted(got, key=lambda r: r.dice)}
+    assert [best[i] for i in range(len(L.TEMPLATES))] == list(L.TEMPLATES)
+    one = L.license_scan(df, templates={"o'wn \\x": "mixed bag of own words here", "none": "word"}, threshold=0.9)
+    assert one.count() == 0
