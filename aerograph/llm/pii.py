@@ -5,7 +5,9 @@ cues; from each anchor a deterministic local parser expands to the boundaries an
 validates. Every parser is linear in the text it covers, so very long runs cost no
 backtracking. Base kinds are ``email``, ``ip``, ``card`` and ``phone``; the method
 adds ``address`` (mail addresses with letters outside ASCII, and user data in
-URLs) and ``account`` (identifiers after a cue such as "iban" or "token").
+URLs) and ``account``: identifiers after a cue such as "iban" or "token" that starts a word, checked by what the cue names
+(check digits of an IBAN, ranges of a social security number, a mix of characters in a password, four digits in any other), and
+keys that issuers start with a known prefix.
 
 Null text counts as empty and gives no span. Rows are independent: repeated rows are
 kept, ties by start are ordered by kind. Extra columns of the input are ignored by
@@ -27,6 +29,12 @@ ORDER = {k: i for i, k in enumerate(KINDS)}
 #: Identifier cues, lower and title and upper case.
 CUES = ("iban", "account", "acct", "ssn", "passport", "token", "api_key", "apikey", "password", "secret")
 
+#: Prefixes of issued keys, and what follows them.
+KEYS = {
+    "AKIA": r"[A-Z0-9]{16}(?![A-Za-z0-9])", "ASIA": r"[A-Z0-9]{16}(?![A-Za-z0-9])", "ghp_": r"[A-Za-z0-9_]{36,}+", "gho_": r"[A-Za-z0-9_]{36,}+", "github_pat_": r"[A-Za-z0-9_]{40,}+",
+    "xoxb-": r"[A-Za-z0-9-]{20,}+", "xoxp-": r"[A-Za-z0-9-]{20,}+", "AIza": r"[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])", "sk-": r"(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,}+", "eyJ": r"[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+",
+}
+
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = frozenset("0123456789")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,6 +45,10 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+")
 ACCOUNT = re.compile(r"[ \t]{0,3}(?:is|no\.?|number|#|:|=)?[ \t:=#\"']{0,4}([A-Za-z0-9](?:[A-Za-z0-9_-]|(?<=[0-9]) (?=[0-9]{2})){5,}+)")
 USER_DATA = re.compile(r"[^\s/?#@]++@[^\s/?#@]+")
 RUN = re.compile(r"[0-9]+")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
+SSN = re.compile(r"([0-9]{3})-?([0-9]{2})-?([0-9]{4})")
+PART = re.compile(r"[A-Za-z0-9_-]*+")
+KEY = {prefix: re.compile(body) for prefix, body in KEYS.items()}
 
 
 def automaton():
@@ -45,9 +57,11 @@ def automaton():
     made = ahocorasick.Automaton()
     for x in ("@", "+", "://", *"0123456789"):
         made.add_word(x, x)
+    for prefix in KEYS:
+        made.add_word(prefix, prefix)
     for cue in CUES:
         for x in {cue, cue.title(), cue.upper()}:
-            made.add_word(x, "cue")
+            made.add_word(x, f"cue {cue}")
     made.make_automaton()
     return made
 
@@ -57,12 +71,27 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def valid_account(cue: str, value: str) -> bool:
+    """Whether a value is of the kind that its cue names."""
+    digits = sum(c in DIGITS for c in value)
+    if cue == "iban":
+        plain = value.replace(" ", "").replace("-", "").upper()
+        return bool(IBAN.fullmatch(plain)) and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    if cue == "ssn":
+        m = SSN.fullmatch(value.replace(" ", "-"))
+        return bool(m) and m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000"
+    if cue == "password" and digits and any(c.isalpha() for c in value):
+        return True
+    return digits >= 4
+
+
 def spans_of(text: str, anchors) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) by start, then kind; ends are exclusive code points."""
     if not text:
         return []
     out: list[tuple[int, int, str]] = []
-    mail_end = ip_end = card_end = phone_end = run_end = cue_end = plain_end = 0
+    dead: dict[str, int] = {}  # by prefix
+    mail_end = ip_end = card_end = phone_end = run_end = cue_end = plain_end = key_end = 0
     for last, what in anchors.iter(text):
         if what in DIGITS:
             if last < run_end:
@@ -105,12 +134,21 @@ def spans_of(text: str, anchors) -> list[tuple[int, int, str]]:
                 while start > 0 and text[start - 1].isalpha() and last - start < 16:
                     start -= 1
                 out.append((start, m.end(), "address"))
-        elif last + 1 >= cue_end and last + 7 >= plain_end and (m := ACCOUNT.match(text, last + 1)):  # "number", the longest word before a value, has 6 letters
-            if sum(c in DIGITS for c in m[1]) >= 4:
+        elif what in KEY:
+            start = last + 1 - len(what)
+            if start >= key_end and last >= dead.get(what, 0) and not text[start - 1 : start].isalnum():
+                if m := KEY[what].match(text, last + 1):
+                    key_end = m.end()
+                    if start >= cue_end:
+                        out.append((start, key_end, "account"))
+                elif what in ("sk-", "eyJ"):
+                    dead[what] = PART.match(text, last + 1).end()  # what starts inside this run has less of it
+        elif last + 1 >= max(cue_end, key_end) and last + 7 >= plain_end and not text[last + 4 - len(what) : last + 5 - len(what)].isalnum() and (m := ACCOUNT.match(text, last + 1)):  # "number", the longest word before a value, has 6 letters
+            if valid_account(what[4:], m[1]):
                 cue_end = m.end()
                 out.append((m.start(1), m.end(1), "account"))
             else:
-                plain_end = m.end()  # cues inside this run start parts of it, with no more digits
+                plain_end = m.end()  # cues inside this run start parts of it
     out.sort(key=lambda x: (x[0], ORDER[x[2]], x[1]))
     return out
 
