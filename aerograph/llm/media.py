@@ -1,11 +1,11 @@
 """Media columns: ISO base media files, written, walked and indexed without decoding their payload.
 
-``media_columns`` reads any ISO media file (nested boxes, 32- and 64-bit sizes)
-and stores codec, timescale, duration and the byte ranges of key frames.
+``media_columns`` reads any ISO media file (nested boxes, 32- and 64-bit sizes, sample tables and movie fragments)
+and stores of every track its codec, timescale, duration, and the byte ranges and presentation times of key frames; the first track's stand in columns of their own.
 ``store_payloads`` wraps bytes losslessly as an 8-bit PCM track and reads them back
 through the sample tables. Null or malformed files give null fields and an
 ``error``; empty payloads become one block of zeros; rows are independent, so
-ties, repeated rows and extra columns change nothing.
+ties, repeated rows and extra columns change nothing. A task holds a few copies of one text at a time, of any length that fits a row.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ BLOCK = 64  # bytes of a sample
 PER_CHUNK = 32  # samples of a chunk
 KEY_EVERY = 16  # a sync sample every so many samples
 RATE = 8000  # PCM samples a second
-CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex"))
+CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"))
 
-MEDIA_SCHEMA = "codec string, timescale long, duration long, n_samples long, keyframes array<struct<offset:long,length:long>>, error string"
+TRACK = "codec:string,timescale:long,duration:long,n_samples:long,keyframes:array<struct<offset:long,length:long,time:long>>"
+MEDIA_SCHEMA = f"codec string, timescale long, duration long, n_samples long, keyframes array<struct<offset:long,length:long>>, tracks array<struct<{TRACK}>>, error string"
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -108,54 +109,133 @@ def walk(data: memoryview, start: int, end: int, path: tuple[bytes, ...] = ()):
         start += size
 
 
+def numbers(view: memoryview, at: int, kind: str, n: int) -> np.ndarray:
+    return np.frombuffer(view[at:], kind, n).astype(np.int64)
+
+
+def spread(view: memoryview, a: int, signed: bool) -> np.ndarray:
+    """One value per sample of a table of (count, value) pairs."""
+    pairs = numbers(view, a + 8, ">u4", 2 * struct.unpack_from(">I", view, a + 4)[0]).reshape(-1, 2)
+    values = pairs[:, 1].astype(np.uint32).astype(np.int32).astype(np.int64) if signed else pairs[:, 1]
+    return np.repeat(values, pairs[:, 0])
+
+
+def table_samples(t: dict) -> dict[str, np.ndarray]:
+    """offsets, sizes, sync (whether a key frame), times (decode) and shifts (to presentation) of a track's sample tables."""
+    sizes, chunks, runs = t["sizes"], t["chunks"], t["runs"]
+    ends = np.append(runs[1:, 0] - 1, len(chunks))
+    counts = np.repeat(runs[:, 1], ends - runs[:, 0] + 1)
+    if len(counts) != len(chunks) or counts.sum() != len(sizes):
+        raise ValueError("sample tables disagree")
+    n, before = len(sizes), np.cumsum(sizes) - sizes
+    firsts = np.cumsum(counts) - counts
+    chunk = np.repeat(np.arange(len(chunks)), counts)
+    offsets = chunks[chunk] + before - before[firsts[chunk]] if n else before
+    sync = np.ones(n, bool)
+    if "sync" in t:
+        if len(t["sync"]) and not 0 <= t["sync"].min() <= t["sync"].max() < n:
+            raise ValueError("samples lie outside the file")
+        sync[:] = False
+        sync[t["sync"]] = True
+    deltas, shifts = t.get("deltas", np.zeros(n, np.int64)), t.get("shifts", np.zeros(n, np.int64))
+    if len(deltas) != n or len(shifts) != n:
+        raise ValueError("sample tables disagree")
+    return {"offsets": offsets, "sizes": sizes, "sync": sync, "times": np.cumsum(deltas) - deltas, "shifts": shifts, "end": np.array([deltas.sum()])}
+
+
+def fragment_run(view: memoryview, a: int, head: dict, start: int) -> dict[str, np.ndarray]:
+    """The samples of one run of a movie fragment; ``start``: where its data starts if the run does not say."""
+    flags, n = struct.unpack_from(">I", view, a)[0] & 0xFFFFFF, struct.unpack_from(">I", view, a + 4)[0]
+    at = a + 8
+    if flags & 1:
+        start, at = head["base"] + struct.unpack_from(">i", view, at)[0], at + 4
+    first, at = (struct.unpack_from(">I", view, at)[0], at + 4) if flags & 4 else (None, at)
+    given = [name for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
+    rows = numbers(view, at, ">u4", n * len(given)).reshape(n, len(given))
+    column = lambda name, other: rows[:, given.index(name)] if name in given else np.full(n, other, np.int64)
+    sizes, marks, deltas = column("size", head["size"]), column("flags", head["flags"]).copy(), column("duration", head["duration"])
+    if first is not None and n and "flags" not in given:
+        marks[0] = first
+    shifts = column("shift", 0).astype(np.uint32).astype(np.int32).astype(np.int64)
+    return {"offsets": start + np.cumsum(sizes) - sizes, "sizes": sizes, "sync": marks & 0x10000 == 0, "times": head["time"] + np.cumsum(deltas) - deltas, "shifts": shifts, "end": np.array([head["time"] + deltas.sum()])}
+
+
+def fragment_head(view: memoryview, a: int, moof: int, extends: dict[int, dict]) -> dict:
+    """track, base (of data offsets), and defaults of samples, of one track in a movie fragment."""
+    flags, track = struct.unpack_from(">II", view, a)
+    out, at = {"track": track, "base": moof, "time": 0} | extends.get(track, {"duration": 0, "size": 0, "flags": 0}), a + 8
+    for bit, name, kind in ((1, "base", ">Q"), (2, None, ">I"), (8, "duration", ">I"), (0x10, "size", ">I"), (0x20, "flags", ">I")):
+        if flags & bit:
+            value = struct.unpack_from(kind, view, at)[0]
+            at += struct.calcsize(kind)
+            out |= {name: value} if name else {}
+    return out
+
+
 def tracks(data: bytes) -> list[dict]:
-    """Each track's codec, timescale, duration, and arrays of sample offsets, sizes and sync samples (0-based)."""
-    view, out = memoryview(data), []
+    """Each track's codec, timescale, duration, and arrays of its samples: offsets, sizes, times, shifts, and the numbers of key frames (sync)."""
+    view, out, extends, runs = memoryview(data), [], {}, {}
+    moof, head, data_end = 0, {}, 0
     for path, a, b in walk(view, 0, len(data)):
         kind = path[-1]
-        if kind == b"trak":
-            out.append({"codec": None, "timescale": None, "duration": None})
+        if kind == b"moof":
+            moof = data_end = a - 8
+        elif kind == b"trex":
+            track, _, duration, size, flags = struct.unpack_from(">5I", view, a + 4)
+            extends[track] = {"duration": duration, "size": size, "flags": flags}
+        elif kind == b"tfhd":
+            head = fragment_head(view, a, moof, extends)
+            head["time"] = int(runs[head["track"]][-1]["end"][0]) if head["track"] in runs else None
+            data_end = head["base"]
+        elif kind == b"tfdt":
+            head["time"] = struct.unpack_from(">Q" if view[a] else ">I", view, a + 4)[0]
+        elif kind == b"trun":
+            head["time"] = 0 if head["time"] is None else head["time"]
+            some = fragment_run(view, a, head, data_end)
+            runs.setdefault(head["track"], []).append(some)
+            head["time"], data_end = int(some["end"][0]), int(some["offsets"][-1] + some["sizes"][-1]) if len(some["sizes"]) else data_end
+        elif kind == b"trak":
+            out.append({"codec": None, "timescale": None, "duration": None, "track": None})
         if not out or len(path) < 2:
             continue
         t = out[-1]
-        if kind == b"mdhd":
+        if kind == b"tkhd":
+            t["track"] = struct.unpack_from(">I", view, a + (12 if view[a] == 0 else 20))[0]
+        elif kind == b"mdhd":
             at = ">II" if view[a] == 0 else ">IQ"
             t["timescale"], t["duration"] = struct.unpack_from(at, view, a + (12 if view[a] == 0 else 20))
         elif kind == b"stsd":
             t["codec"] = bytes(view[a + 12 : a + 16]).decode("latin-1").strip()
         elif kind == b"stsz":
             each, n = struct.unpack_from(">II", view, a + 4)
-            t["sizes"] = np.full(n, each, np.int64) if each else np.frombuffer(view[a + 12 : b], ">u4", n).astype(np.int64)
+            t["sizes"] = np.full(n, each, np.int64) if each else numbers(view, a + 12, ">u4", n)
         elif kind in (b"stco", b"co64"):
-            n = struct.unpack_from(">I", view, a + 4)[0]
-            t["chunks"] = np.frombuffer(view[a + 8 : b], ">u4" if kind == b"stco" else ">u8", n).astype(np.int64)
+            t["chunks"] = numbers(view, a + 8, ">u4" if kind == b"stco" else ">u8", struct.unpack_from(">I", view, a + 4)[0])
         elif kind == b"stsc":
             n = struct.unpack_from(">I", view, a + 4)[0]
-            t["runs"] = np.frombuffer(view[a + 8 : b], ">u4", 3 * n).astype(np.int64).reshape(n, 3)
+            t["runs"] = numbers(view, a + 8, ">u4", 3 * n).reshape(n, 3)
         elif kind == b"stss":
-            n = struct.unpack_from(">I", view, a + 4)[0]
-            t["sync"] = np.frombuffer(view[a + 8 : b], ">u4", n).astype(np.int64) - 1
+            t["sync"] = numbers(view, a + 8, ">u4", struct.unpack_from(">I", view, a + 4)[0]) - 1
+        elif kind == b"stts":
+            t["deltas"] = spread(view, a, False)
+        elif kind == b"ctts":
+            t["shifts"] = spread(view, a, True)
     for t in out:
         if not {"sizes", "chunks", "runs"} <= t.keys():
             raise ValueError("sample tables are missing")
-        sizes, chunks, runs = t["sizes"], t["chunks"], t["runs"]
-        ends = np.append(runs[1:, 0] - 1, len(chunks))
-        counts = np.repeat(runs[:, 1], ends - runs[:, 0] + 1)
-        if len(counts) != len(chunks) or counts.sum() != len(sizes):
-            raise ValueError("sample tables disagree")
-        before = np.cumsum(sizes) - sizes
-        firsts = np.cumsum(counts) - counts
-        chunk = np.repeat(np.arange(len(chunks)), counts)
-        t["offsets"] = chunks[chunk] + before - before[firsts[chunk]] if len(sizes) else before
-        t["sync"] = t.get("sync", np.arange(len(sizes)))
-        if len(sizes) and (t["offsets"] + sizes).max() > len(data) or len(t["sync"]) and t["sync"].max() >= len(sizes):
+        parts = [table_samples(t), *runs.get(t["track"], [])]
+        t |= {k: np.concatenate([x[k] for x in parts]) for k in ("offsets", "sizes", "times", "shifts", "sync")}
+        t["sync"] = np.flatnonzero(t["sync"])
+        if len(parts) > 1:
+            t["duration"] = t["duration"] or int(parts[-1]["end"][0])
+        if len(t["sizes"]) and ((t["offsets"] + t["sizes"]).max() > len(data) or t["offsets"].min() < 0):
             raise ValueError("samples lie outside the file")
     return out
 
 
 def describe(data: bytes | None) -> dict:
     """The media columns of one file; payload bytes are never touched."""
-    none = {"codec": None, "timescale": None, "duration": None, "n_samples": None, "keyframes": None, "error": None}
+    none = {"codec": None, "timescale": None, "duration": None, "n_samples": None, "keyframes": None, "tracks": None, "error": None}
     if data is None:
         return none
     try:
@@ -164,9 +244,12 @@ def describe(data: bytes | None) -> dict:
             raise ValueError("no track")
     except (ValueError, struct.error) as e:
         return none | {"error": str(e)}
-    t = found[0]
-    keys = [{"offset": int(t["offsets"][k]), "length": int(t["sizes"][k])} for k in t["sync"]]
-    return {"codec": t["codec"], "timescale": t["timescale"], "duration": t["duration"], "n_samples": len(t["sizes"]), "keyframes": keys, "error": None}
+    made = []
+    for t in found:
+        keys = zip(*(t[x][t["sync"]].tolist() for x in ("offsets", "sizes", "times", "shifts")))
+        made.append({"codec": t["codec"], "timescale": t["timescale"], "duration": t["duration"], "n_samples": len(t["sizes"]), "keyframes": [{"offset": o, "length": n, "time": at + shift} for o, n, at, shift in keys]})
+    first = made[0] | {"keyframes": [{"offset": k["offset"], "length": k["length"]} for k in made[0]["keyframes"]]}
+    return first | {"tracks": made, "error": None}
 
 
 def read_payload(data: bytes) -> bytes:

@@ -152,3 +152,61 @@ def test_pii_spans_reach_the_real_end():
     assert pii.redacted("token: my_tokenis 12345678", anchors) == "token: my_tokenis [ACCOUNT]"
     for x in ("token", "é@", "a://b"):  # linear in the text
         pii.spans_of(x * 100_000, anchors)
+
+
+def test_accounts_are_checked_by_their_cue():
+    anchors = pii.automaton()
+    found = lambda text: [text[a:b] for a, b, k in pii.spans_of(text, anchors) if k == "account"]
+    assert found("iban GB82 WEST 12345698765432") == [] and found("IBAN: GB82WEST12345698765432") == ["GB82WEST12345698765432"] and found("iban GB82WEST12345698765433") == []
+    assert found("ssn 123-45-6789") == ["123-45-6789"] and found("ssn 000-45-6789") == [] and found("SSN: 987-65-4321") == []
+    assert found("password: hunter2x") == ["hunter2x"] and found("password: hunters") == [] and found("secret=ab12cd34") == ["ab12cd34"]
+    assert found("subtoken 12345678") == [] and found("my_token 12345678") == ["12345678"]  # a cue starts a word
+    aws, git = "AKIA" + "IOSFODNN7EXAMPLE", "ghp_" + "a1B2" * 9
+    assert found(f"x {aws}, {git}.") == [aws, git] and found(f"x{aws}") == [] and found(aws[:-1]) == []
+    assert found(f"token = {git}") == [git] and found("eyJ" + "a" * 20 + "." + "b" * 20 + "." + "c" * 20)
+    for x in ("AKIA", "iban", "eyJa.", "sk-", "secret iban ", "password:"):  # linear in the text
+        pii.spans_of(x * 100_000, anchors)
+
+
+def test_fragments_and_several_tracks():
+    import struct
+
+    movie, fragment = media.write_media(bytes(range(64)) * 3), b""
+    trak = movie[movie.index(b"trak") - 4 :]
+    trak = trak[: struct.unpack(">I", trak[:4])[0]]
+    empty = trak
+    for kind in (b"stts", b"stsc", b"stsz", b"stss", b"stco"):  # a track whose tables are empty
+        at = empty.index(kind) - 4
+        size = struct.unpack(">I", empty[at : at + 4])[0]
+        new = media.full(kind, bytes(8 if kind == b"stsz" else 4))
+        grown = len(new) - size
+        for name in (b"trak", b"mdia", b"minf", b"stbl"):
+            i = empty.index(name) - 4
+            empty = empty[:i] + struct.pack(">I", struct.unpack(">I", empty[i : i + 4])[0] + grown) + empty[i + 4 :]
+        at = empty.index(kind) - 4
+        empty = empty[:at] + new + empty[at + size :]
+    moov = media.box(b"moov", empty, media.box(b"mvex", media.full(b"trex", struct.pack(">5I", 1, 1, 10, 4, 0x10000))))
+    payload = b"AAAABBBBCCCCDDDDEE"
+    for n, (extra, first) in enumerate((((0x1 | 0x4), struct.pack(">I", 0)), ((0x1 | 0x200 | 0x400 | 0x800), b""))):
+        rows = b"" if n == 0 else struct.pack(">IIi", 10, 0x10000, -3) + struct.pack(">IIi", 8, 0, 5)
+        body = lambda offset: media.box(
+            b"moof", media.full(b"mfhd", bytes(4)),
+            media.box(b"traf", media.box(b"tfhd", struct.pack(">II", 0x20000, 1)), *([media.full(b"tfdt", struct.pack(">I", 100))] if n == 0 else []), media.box(b"trun", struct.pack(">IIi", extra, 3 if n == 0 else 2, offset) + first + rows)),
+        )
+        fragment += body(len(body(0)) + 8) + media.box(b"mdat", payload)
+    data = media.box(b"ftyp", b"isom") + moov + fragment
+    t = media.describe(data)["tracks"][0]
+    at = [i for i in range(len(data)) if data.startswith(payload, i)]
+    assert t["n_samples"] == 5 and t["keyframes"] == [{"offset": at[0], "length": 4, "time": 100}, {"offset": at[1] + 10, "length": 8, "time": 145}]
+    assert media.read_payload(data) == payload[:12] + payload
+
+    pair = media.box(b"ftyp", b"isom") + media.box(b"moov", empty, empty.replace(b"raw ", b"twos"))
+    assert [x["codec"] for x in media.describe(pair)["tracks"]] == ["raw", "twos"] and media.describe(pair)["codec"] == "raw"
+    cut_off = data[: len(data) - 4]
+    assert media.describe(cut_off)["error"]
+
+
+def test_key_frame_times():
+    movie = media.write_media(bytes(64 * 40))
+    keys = media.describe(movie)["tracks"][0]["keyframes"]
+    assert [k["time"] for k in keys] == [0, 16 * 64, 32 * 64]
