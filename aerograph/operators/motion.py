@@ -36,27 +36,36 @@ def footprint_offsets(pose, camera: Camera) -> np.ndarray:
 
 
 def spread(ground: np.ndarray, camera: np.ndarray, alt: np.ndarray, s: Settings) -> tuple[float, float]:
-    """(spread, height) of the height at which the world position spreads least; (inf, 0) for too few observations."""
+    """(spread, height) of the height at which the world position spreads least; (inf, 0) for too few observations.
+
+    At height h an observation's place is ``g - h q`` with ``q = (g - c) / alt``, so its variance over the observations above h is a
+    quadratic in h, whose coefficients are running sums from the highest observation down.
+    """
     if len(ground) < s.wf_min_frames:
         return math.inf, 0.0
-
-    def scan(heights: np.ndarray) -> tuple[float, float]:
-        usable = (alt > heights[:, None]) & (alt > 0)
-        share = np.where(usable, 1 - heights[:, None] / np.where(alt > 0, alt, 1), 0)
-        total = np.zeros(len(heights))
-        n = np.maximum(usable.sum(1), 1)
-        for axis in (0, 1):
-            w = np.where(usable, camera[:, axis] + (ground[:, axis] - camera[:, axis]) * share, 0)
-            mean = w.sum(1) / n
-            total += (np.where(usable, w - mean[:, None], 0) ** 2).sum(1) / n
-        total[usable.sum(1) < 3] = math.inf
-        k = int(total.argmin())
-        return math.sqrt(total[k]), float(heights[k])
+    order = np.argsort(-alt, kind="stable")
+    order = order[alt[order] > 0]
+    if not len(order):
+        return math.inf, 0.0
+    down = alt[order]
+    g = ground[order] - ground[order].mean(0)
+    q = (ground[order] - camera[order]) / down[:, None]
+    n = np.arange(1, len(down) + 1)
+    means = [np.cumsum(x, axis=0) / n[:, None] for x in (g, q, g * g, g * q, q * q)]
+    steady, cross, square = ((means[2] - means[0] ** 2).sum(1), (means[3] - means[0] * means[1]).sum(1), (means[4] - means[1] ** 2).sum(1))
+
+    def least(heights: np.ndarray) -> tuple[float, float]:
+        above = np.searchsorted(-down, -heights)  # observations above each height
+        at = np.maximum(above, 1) - 1
+        variance = np.where(above < 3, math.inf, np.maximum(steady[at] - 2 * heights * cross[at] + heights**2 * square[at], 0.0))
+        k = int(variance.argmin())
+        return math.sqrt(variance[k]), float(heights[k])
 
     top = 0.95 * alt.max()
-    step = top / max(s.wf_scan - 1, 1)
-    rough = scan(np.linspace(0, top, s.wf_scan))
-    return min(rough, scan(np.linspace(max(0.0, rough[1] - step), min(top, rough[1] + step), s.wf_fine)), key=lambda r: r[0])
+    width = top / max(s.wf_scan - 1, 1)
+    found = least(np.linspace(0, top, s.wf_scan))
+    closer = least(np.linspace(max(0.0, found[1] - width), min(top, found[1] + width), s.wf_fine))
+    return closer if closer[0] < found[0] else found
 
 
 class Track:

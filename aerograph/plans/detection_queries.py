@@ -216,8 +216,9 @@ def stable_track_id(spark, d):
 
 @query(f"""WITH {rel.DETS} SELECT label, list({{'det': det_id, 'c': round(conf, 4)}} ORDER BY det_id)[1].det AS first_det, count(*) AS n, list(round(conf, 4) ORDER BY det_id)[1] AS first_conf, max(round(conf, 4)) AS top FROM dets GROUP BY label HAVING count(*) >= 2""")
 def published_records(spark, d):
-    g = rel.dets(spark, d).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("det_id", F.round("conf", 4).alias("c")))).alias("trajectory")).filter(F.size("trajectory") >= 2)
-    return g.select("label", F.col("trajectory")[0]["det_id"].alias("first_det"), F.size("trajectory").cast("long").alias("n"), F.col("trajectory")[0]["c"].alias("first_conf"), F.array_max(F.transform("trajectory", lambda x: x["c"])).alias("top"))
+    c = F.round("conf", 4)
+    g = rel.dets(spark, d).groupBy("label").agg(F.min("det_id").alias("first_det"), F.count("*").alias("n"), F.min_by(c, "det_id").alias("first_conf"), F.max(c).alias("top"))
+    return g.filter("n >= 2")
 
 
 @query(f"""WITH {rel.BOXES}, t AS (SELECT label || '_' || CAST(det_id % 7 AS VARCHAR) AS track, count(*) AS n, count(DISTINCT parent_path) AS frames FROM boxes GROUP BY ALL)
