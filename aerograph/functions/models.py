@@ -67,57 +67,115 @@ def encode(df: DataFrame, text: str, out: str = "vector", backend: str = "encode
     return df.withColumn(out, run(text))
 
 
-def detect(df: DataFrame, tile: str, query: str, backend: str = "detector") -> DataFrame:
-    """tile, x1, y1, x2, y2, confidence, label of every detection; a tile that fails gives none."""
+#: Seconds that a detector run may take, calls at once, and the statuses after which a call is tried again.
+RUN_SECONDS, THREADS, RETRY_ON = 180.0, 8, (403, 429)
+ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 4, 2.0, 30.0
+
+
+def with_retries(call: Callable, *args, attempts: int = ATTEMPTS, sleep: Callable[[float], None] | None = None):
+    """``call(*args)``, tried again with doubled waits where it fails with a ``status`` of RETRY_ON."""
+    import time
+
+    for k in range(attempts):
+        try:
+            return call(*args)
+        except Exception as e:
+            if k == attempts - 1 or getattr(e, "status", None) not in RETRY_ON:
+                raise
+            (sleep or time.sleep)(min(LONGEST_WAIT, FIRST_WAIT * 2**k))
+
+
+def within(seconds: float, calls: list[Callable]) -> list:
+    """The results of calls made by THREADS at once, in order; None for one that failed or was not done in time."""
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    pool, end = ThreadPoolExecutor(THREADS), time.monotonic() + seconds
+    made, out = [pool.submit(c) for c in calls], []
+    for f in made:
+        try:
+            out.append(f.result(timeout=max(0.0, end - time.monotonic())))
+        except Exception:  # noqa: BLE001  a backend's failure is an empty answer
+            out.append(None)
+    pool.shutdown(wait=False, cancel_futures=True)
+    return out
+
+
+def detect(df: DataFrame, tile: str, query: str, backend: str = "detector", seconds: float = RUN_SECONDS) -> DataFrame:
+    """tile, x1, y1, x2, y2, confidence, label of every detection; a tile that fails or, after ``seconds`` of a task, is not done gives none."""
     factory, kind = REGISTRY[backend], df.schema[tile].dataType.simpleString()
     names = ["x1", "y1", "x2", "y2", "confidence", "label"]
 
     def run(parts):
-        model = factory()
+        import time
+
+        model, end = factory(), time.monotonic() + seconds
         for pdf in parts:
-            rows = []
-            for t in pdf[tile]:
-                try:
-                    rows += [(t, *(d[n] for n in names)) for d in model(t, query)]
-                except Exception:  # noqa: BLE001, S112  a backend's failure is an empty answer
-                    continue
-            yield pd.DataFrame(rows, columns=[tile, *names])
+            tiles = list(pdf[tile])
+            found = within(end - time.monotonic(), [lambda t=t: model(t, query) for t in tiles])
+            yield pd.DataFrame([(t, *(d[n] for n in names)) for t, ds in zip(tiles, found) for d in ds or ()], columns=[tile, *names])
 
     return df.select(tile).mapInPandas(run, f"{tile} {kind}, x1 double, y1 double, x2 double, y2 double, confidence double, label string")
 
 
-def verify(df: DataFrame, tile: str, backend: str = "verifier") -> DataFrame:
-    """``df`` (one call for each tile) with ``confirmed`` and ``vlm_confidence``; detections that the reply leaves out are unconfirmed."""
-    from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+def verify(df: DataFrame, tile: str, backend: str = "verifier", batch: str | None = None, sleep: Callable[[float], None] | None = None) -> DataFrame:
+    """``df`` (one call for each tile, or each ``batch`` of it) with confirmed, vlm_confidence and vlm_reason; detections that the reply leaves out are unconfirmed."""
+    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
     factory = REGISTRY[backend]
-    schema = StructType([*df.schema.fields, StructField("confirmed", BooleanType()), StructField("vlm_confidence", DoubleType())])
+    schema = StructType([*df.schema.fields, StructField("confirmed", BooleanType()), StructField("vlm_confidence", DoubleType()), StructField("vlm_reason", StringType())])
 
     def run(pdf):
-        rows = pdf.to_dict("records")
+        rows, why = pdf.to_dict("records"), "no reply"
         try:
-            reply = {r["index"]: r for r in factory()(rows[0][tile], rows)}
-        except Exception:  # noqa: BLE001  a backend's failure leaves all unconfirmed
-            reply = {}
-        return pdf.assign(confirmed=[bool(reply.get(i, {}).get("confirmed", False)) for i in range(len(rows))], vlm_confidence=[float(reply.get(i, {}).get("confidence", 0.0)) for i in range(len(rows))])
+            reply = {r["index"]: r for r in with_retries(factory(), rows[0][tile], rows, sleep=sleep)}
+        except Exception as e:  # noqa: BLE001  a backend's failure leaves all unconfirmed
+            reply, why = {}, f"failed: {e}"
+        own = [reply.get(i, {"reason": why}) for i in range(len(rows))]
+        return pdf.assign(confirmed=[bool(r.get("confirmed", False)) for r in own], vlm_confidence=[float(r.get("confidence", 0.0)) for r in own], vlm_reason=[r.get("reason") for r in own])
+
+    return df.groupBy(*([tile, batch] if batch else [tile])).applyInPandas(run, schema)
+
+
+def judge_movers(movers: DataFrame, snapshots: DataFrame, key: str, backend: str = "verifier", size: int = 25, sleep: Callable[[float], None] | None = None) -> DataFrame:
+    """Confirmed movers with their verdicts: those of a snapshot go to the verifier in batches of ``size``, on the snapshot nearest to their last frame.
+
+    movers: key, track_id, last_frame and more. snapshots: key, snap.
+    """
+    from pyspark.sql import functions as F
+
+    from aerograph.operators.pipeline import batches_of, nearest_snapshot
 
-    return df.groupBy(tile).applyInPandas(run, schema)
+    near = nearest_snapshot(movers, snapshots, key).filter("snap IS NOT NULL")
+    named = near.withColumn("snapshot", F.concat_ws("/", F.col(key).cast("string"), F.col("snap").cast("string")))
+    return verify(batches_of(named, ["snapshot"], "track_id", size), "snapshot", backend, "batch", sleep)
+
+
+AERIAL = "aerial drone nadir overhead view: "  # a fixed value: what every text query starts with
+
+
+def encode_query(text: str, backend: str = "encoder") -> list[float]:
+    return REGISTRY[backend]()(AERIAL + text)
 
 
 class Vocabulary:
-    """Expected and anomalous terms of a scene, from a backend; kept by (scene, hint) in lower case, with fallback lists."""
+    """Expected and anomalous terms of a scene, from a backend; kept by (scene, hint) in lower case.
+
+    Without an answer, the scene's and the hint's own words stand in.
+    """
 
-    def __init__(self, backend: Callable[[str, str], dict[str, list[str]]] | None = None, expected: tuple[str, ...] = ("ground", "vegetation", "building", "road"), anomaly: tuple[str, ...] = ("foreign object", "debris")):
-        self.backend, self.fallback, self.known = backend, {"expected": list(expected), "anomaly": list(anomaly)}, {}
+    def __init__(self, backend: Callable[[str, str], dict[str, list[str]]] | None = None):
+        self.backend, self.known = backend, {}
 
     def __call__(self, scene: str, hint: str) -> dict[str, list[str]]:
-        at = (scene.lower(), hint.lower())
+        at = (scene.strip().lower(), hint.strip().lower())
         if at not in self.known:
             try:
-                made = self.backend(scene, hint) if self.backend else {}
-            except Exception:  # noqa: BLE001  a backend's failure leaves the fallback
-                made = {}
-            self.known[at] = {side: made.get(side) or terms for side, terms in self.fallback.items()}
+                made = self.backend(scene, hint)
+                made = {"expected": made.get("expected") or [scene], "anomaly": made.get("anomaly") or [hint]}
+            except Exception:  # noqa: BLE001  a backend's failure, or none, leaves the fallback
+                made = {"expected": [scene, f"aerial view of {scene}", "normal"], "anomaly": [hint, f"aerial view of {hint}", "anomaly", "unusual"]}
+            self.known[at] = made
         return self.known[at]
 
     def frame(self, spark, scene: str, hint: str, encoder: str = "encoder") -> DataFrame:

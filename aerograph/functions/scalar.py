@@ -189,3 +189,59 @@ def relative_date(day, today) -> Column:
 
 def colour_of(index) -> Column:
     return F.element_at(F.array(*map(F.lit, COLOURS)), (F.pmod(col(index), F.lit(len(COLOURS))) + 1).cast("int"))
+
+
+def fill_ratio(inside, x1, y1, x2, y2) -> Column:
+    """Share of a box that its mask covers; a box without area counts as one pixel."""
+    return col(inside) / F.greatest(F.lit(1), (col(x2) - col(x1)) * (col(y2) - col(y1)))
+
+
+def confidence_ramp(c) -> Column:
+    """struct<r, g, b> (0 to 255): the hue runs from red at 0 over yellow at a half to green at 1."""
+    c = clamp(c, 0.0, 1.0)
+    return F.struct(
+        F.round(255 * F.least(F.lit(1.0), 2 * (1 - c))).cast("int").alias("r"), F.round(255 * F.least(F.lit(1.0), 2 * c)).cast("int").alias("g"), F.lit(0).alias("b")
+    )
+
+
+def label_text(label, size: int = 60) -> Column:
+    """A label for display: trimmed, lower-case, cut to ``size`` characters."""
+    return F.substring(F.lower(F.trim(col(label))), 1, size)
+
+
+def safe_name(name) -> Column:
+    """A file name without what file systems reserve."""
+    return F.regexp_replace(F.trim(col(name)), r"[^A-Za-z0-9._-]+", "_")
+
+
+def round_even(x, digits: int) -> Column:
+    """Rounds halves to even, by the shortest decimal that stands for the number."""
+    return F.bround(col(x), digits)
+
+
+def short_id(*parts) -> Column:
+    """Ten hexadecimal digits that depend on ``parts`` alone, so that a repeated run gives the same ids."""
+    return F.substring(F.md5(F.concat_ws("|", *(col(p).cast("string") for p in parts)).cast("binary")), 1, 10)
+
+
+def box_json(box) -> Column:
+    return F.to_json(col(box))
+
+
+def box_of(text) -> Column:
+    """An array of whole numbers from JSON; null where the text is none."""
+    return F.from_json(col(text), "array<int>")
+
+
+def repair_box(box, width, height, slack: float = 0.05) -> Column:
+    """struct<x1, y1, x2, y2> in pixels of a reply's box: on a scale of 0 to 1 or 0 to 1000 if all its numbers are, clamped to the image.
+
+    Null where there are not four numbers, or the box is inverted or, as it stands, reaches over the image by more than ``slack``.
+    """
+    b, w, h = col(box), col(width), col(height)
+    top = F.array_max(b)
+    scale = lambda size: F.when(top <= 1, size).when((top <= 1000) & ((F.greatest(b[0], b[2]) > w * (1 + slack)) | (F.greatest(b[1], b[3]) > h * (1 + slack))), size / 1000.0).otherwise(F.lit(1.0))
+    at = [F.get(b, F.lit(i)) * scale(w if i % 2 == 0 else h) for i in range(4)]
+    held = [F.least(F.greatest(x, F.lit(0.0)), (w if i % 2 == 0 else h).cast("double")) for i, x in enumerate(at)]
+    ok = (F.size(b) == 4) & (at[2] <= w * (1 + slack)) & (at[3] <= h * (1 + slack)) & (held[2] > held[0]) & (held[3] > held[1])
+    return F.when(ok, F.struct(*(x.alias(n) for x, n in zip(held, ("x1", "y1", "x2", "y2")))))

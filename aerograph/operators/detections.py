@@ -200,9 +200,16 @@ def recentre(df: DataFrame, group: list[str]) -> DataFrame:
     return out.withColumn("zoom", S.zoom("__a", "__b")).drop("__a", "__b")
 
 
+def without(rows: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose key ``keyed`` does not have; null keys are equal."""
+    other = keyed.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
+    on = [rows[k].eqNullSafe(other[f"__{k}"]) for k in keys]
+    return rows.join(other, on, "left_anti")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new``, and those of ``old`` whose key ``new`` does not have."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+    """Rows of ``new``, and those of ``old`` whose key ``new`` does not have; null keys are equal."""
+    return without(old, new, keys).unionByName(new)
 
 
 def not_yet(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:

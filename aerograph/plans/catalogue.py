@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aerograph.operators import detections as D
 from aerograph.operators import retrieval as R
-from aerograph.plans import detection_queries, geometry_queries, record_queries, sequence_queries, source_queries  # noqa: F401  they fill the registry
+from aerograph.plans import detection_queries, geometry_queries, pipeline_queries, record_queries, sequence_queries, source_queries  # noqa: F401  they fill the registry
 from aerograph.plans import relations as rel
 from aerograph.plans.registry import QUERIES, SQL
 

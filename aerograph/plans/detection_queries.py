@@ -52,8 +52,7 @@ def segment_margin_score(spark, d):
     return s.select("vec_id", *(F.round(c, 6).alias(c) for c in ("best_anomaly", "best_expected", "score")))
 
 
-VALID = "valid AS (SELECT * FROM boxes WHERE x2 - x1 >= 8 AND y2 - y1 >= 8)"
-NMS = """g AS (SELECT parent_path, list({'c': -conf, 'k': det_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} ORDER BY conf DESC, det_id) AS b FROM valid GROUP BY parent_path),
+NMS = """g AS (SELECT parent_path, list({'c': -conf, 'k': det_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} ORDER BY conf DESC, det_id) AS b FROM boxes GROUP BY parent_path),
 f AS (SELECT parent_path, list_reduce(list_transform(b, lambda x: [x]), lambda acc, d: CASE WHEN len(list_filter(acc, lambda a: greatest(
   greatest(0, least(a.x2, d[1].x2) - greatest(a.x1, d[1].x1)) * greatest(0, least(a.y2, d[1].y2) - greatest(a.y1, d[1].y1)) / CAST(greatest(1, (a.x2 - a.x1) * (a.y2 - a.y1) + (d[1].x2 - d[1].x1) * (d[1].y2 - d[1].y1)
     - greatest(0, least(a.x2, d[1].x2) - greatest(a.x1, d[1].x1)) * greatest(0, least(a.y2, d[1].y2) - greatest(a.y1, d[1].y1))) AS DOUBLE),
@@ -61,9 +60,10 @@ f AS (SELECT parent_path, list_reduce(list_transform(b, lambda x: [x]), lambda a
   THEN acc ELSE list_concat(acc, d) END) AS kept FROM g)"""
 
 
-@query(f"WITH {rel.BOXES}, {VALID}, {NMS}, u AS (SELECT parent_path, unnest(kept) AS d FROM f) SELECT parent_path, d.k AS det_id, round(-d.c, 6) AS conf FROM u")
+@query(f"WITH {rel.BOXES}, {NMS}, u AS (SELECT parent_path, unnest(kept) AS d FROM f) SELECT parent_path, d.k AS det_id, round(-d.c, 6) AS conf FROM u WHERE d.x2 - d.x1 >= 30 AND d.y2 - d.y1 >= 30")
 def nms_class_agnostic(spark, d):
-    return D.nms(D.valid_boxes(rel.boxes(spark, d))).select("parent_path", "det_id", F.round("conf", 6).alias("conf"))
+    """Small boxes suppress before they are dropped."""
+    return D.valid_boxes(D.nms(rel.boxes(spark, d)), 30).select("parent_path", "det_id", F.round("conf", 6).alias("conf"))
 
 
 @query(f"WITH {rel.BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY parent_path, label ORDER BY conf DESC, det_id) AS rn FROM boxes WHERE x2 - x1 >= 40 AND y2 - y1 >= 40) SELECT det_id, parent_path, label FROM r WHERE rn <= 3")
@@ -117,16 +117,17 @@ def percentile_stats_by_label(spark, d):
     return D.describe(rel.read(spark, d, "events"), ["event_type"], "value")
 
 
-@query(f"""WITH {rel.BOXES}, {VALID}, {NMS}, u AS (SELECT unnest(kept) AS d FROM f), k AS (SELECT d.k AS det_id FROM u),
-s AS (SELECT b.label, count(*) AS pre, sum(CASE WHEN x2 - x1 >= 8 AND y2 - y1 >= 8 THEN 1 ELSE 0 END) AS sized, sum(CASE WHEN k.det_id IS NOT NULL THEN 1 ELSE 0 END) AS post FROM boxes b LEFT JOIN k USING (det_id) GROUP BY b.label)
-SELECT label, pre, CAST(sized AS BIGINT) AS sized, CAST(post AS BIGINT) AS post, CAST(sized - post AS BIGINT) AS suppressed, CASE WHEN sized = 0 THEN 0 ELSE round((sized - post) / CAST(sized AS DOUBLE), 4) END AS rejection_rate FROM s""")
+@query(f"""WITH {rel.BOXES}, {NMS}, u AS (SELECT unnest(kept) AS d FROM f), k AS (SELECT d.k AS det_id FROM u),
+s AS (SELECT b.label, count(*) AS pre, count(k.det_id) AS post, count(k.det_id) FILTER (x2 - x1 >= 30 AND y2 - y1 >= 30) AS sized FROM boxes b LEFT JOIN k USING (det_id) GROUP BY b.label)
+SELECT label, pre, post, sized, pre - post AS suppressed, CASE WHEN pre = 0 THEN 0 ELSE round((pre - post) / CAST(pre AS DOUBLE), 4) END AS rejection_rate FROM s""")
 def stage_funnel(spark, d):
+    """What suppression, and then the size limit, let through."""
     b = rel.boxes(spark, d)
-    kept = D.nms(D.valid_boxes(b)).select("det_id", F.lit(1).alias("k"))
-    sized = ((F.col("x2") - F.col("x1") >= 8) & (F.col("y2") - F.col("y1") >= 8)).cast("long")
-    s = b.join(kept, "det_id", "left").groupBy("label").agg(F.count("*").alias("pre"), F.sum(sized).alias("sized"), F.sum(F.coalesce("k", F.lit(0)).cast("long")).alias("post"))
-    lost = F.col("sized") - F.col("post")
-    return s.select("label", "pre", "sized", "post", lost.alias("suppressed"), F.when(F.col("sized") == 0, 0.0).otherwise(F.round(lost / F.col("sized"), 4)).alias("rejection_rate"))
+    kept = D.nms(b).select("det_id", F.lit(True).alias("k"))
+    sized = F.col("k") & (F.col("x2") - F.col("x1") >= 30) & (F.col("y2") - F.col("y1") >= 30)
+    s = b.join(kept, "det_id", "left").groupBy("label").agg(F.count("*").alias("pre"), F.count("k").alias("post"), F.count_if(F.coalesce(sized, F.lit(False))).alias("sized"))
+    lost = F.col("pre") - F.col("post")
+    return s.select("label", "pre", "post", "sized", lost.alias("suppressed"), F.when(F.col("pre") == 0, 0.0).otherwise(F.round(lost / F.col("pre"), 4)).alias("rejection_rate"))
 
 
 @query("SELECT least(25, CAST(floor(value / 500 * 25) AS INT) + 1) AS bin, count(*) AS n FROM events WHERE value / 500 BETWEEN 0 AND 1 GROUP BY ALL")

@@ -189,3 +189,15 @@ def test_no_whole_group_in_a_row(spark):
     assert "FlatMapGroups" not in plan(T.track_velocity(df))
     obs = spark.createDataFrame([(1, 80.0, 0.0, 0.0, 1.0, 1.0)], "track_id long, alt_m double, cam_e double, cam_n double, geo_e double, geo_n double")
     assert "Python" not in plan(T.world_fixed(obs))
+
+
+def test_a_changed_gate_shows_in_the_trackers_sql(spark):
+    """The SQL twin follows the gate: with another one it gives other tracks."""
+    import duckdb
+
+    from aerograph.plans import pipeline_queries as Q
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.001/events.parquet'")
+    show = lambda gate: con.execute(f"WITH {Q.CROSSING}, named AS (SELECT *, lower(label) AS track_label FROM crossing), {Q.tracked('named', 'mission, track_label', gate)} SELECT mission, track_label, max(track_no) FROM tracks GROUP BY ALL ORDER BY ALL").fetchall()
+    assert show(5.0) != show(0.5)
