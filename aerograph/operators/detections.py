@@ -117,12 +117,46 @@ def blob_gate(df: DataFrame, low, high, aspect: float = DEFAULT.aspect_limit) ->
     return df.filter((F.col("area") >= low) & (F.col("area") <= high) & (ratio <= aspect))
 
 
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: tuple[float, ...], bins: int = 1024) -> DataFrame:
+    """keys, n, lo, hi, mean and p (array, linearly interpolated) of each group's values that are not null; exact.
+
+    Counts by bin tell in which bins the wanted ranks lie; only the values of those bins are counted one by one. So a group's state is
+    a few numbers per task, and its rows are never gathered.
+    """
+    v = F.col("__v")
+    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL AND NOT isnan(__v)")
+    spans = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.avg("__v").alias("mean"))
+    same = lambda a, b: [a[k].eqNullSafe(b[f"__{k}"]) for k in keys] or F.lit(True)
+    named = lambda d, *more: d.select(*(F.col(k).alias(f"__{k}") for k in keys), *more)
+    edges = named(spans, F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
+    cell = F.when(F.col("__hi") > F.col("__lo"), F.least(F.lit(bins - 1), F.floor((v - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins))).otherwise(0).cast("int")
+    binned = rows.join(edges, same(rows, edges)).select(*keys, "__v", cell.alias("__bin"))
+    w = W.partitionBy(*keys).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
+    counts = binned.groupBy(*keys, "__bin").agg(F.count("*").alias("__c"))
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__c").over(w), F.lit(0))).withColumn("__n", F.sum("__c").over(W.partitionBy(*keys)))
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor((F.col("__n") - 1) * s), F.ceil((F.col("__n") - 1) * s)) for s in shares))))
+    inside = lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__c"))
+    wanted = counts.withColumn("__ranks", F.filter(ranks, inside)).filter(F.size("__ranks") > 0)
+    wanted = named(wanted, F.col("__bin").alias("__b"), "__before", "__ranks")
+    few = binned.join(wanted, [*([] if not keys else same(binned, wanted)), F.col("__bin") == F.col("__b")]).groupBy(*keys, "__bin", "__v", "__before", "__ranks").agg(F.count("*").alias("__c"))
+    upto = W.partitionBy(*keys, "__bin").orderBy("__v").rowsBetween(W.unboundedPreceding, -1)
+    few = few.withColumn("__before", F.col("__before") + F.coalesce(F.sum("__c").over(upto), F.lit(0)))
+    found = few.select(*keys, "__v", F.explode(F.filter("__ranks", inside)).alias("__r"))
+    at = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__r", "__v"))).alias("__at"))
+    at = named(at, "__at")
+    place = lambda s: (F.col("n") - 1) * F.lit(float(s))
+    value_at = lambda s: F.col("__at")[F.floor(place(s))] + (F.col("__at")[F.ceil(place(s))] - F.col("__at")[F.floor(place(s))]) * (place(s) - F.floor(place(s)))
+    return spans.join(at, same(spans, at)).select(*keys, "n", "lo", "hi", "mean", F.array(*map(value_at, shares)).alias("p"))
+
+
 def describe(df: DataFrame, keys: list[str], value: str, digits: int = 4) -> DataFrame:
-    """count, min, p25, p50, mean, p75, p90, max per group, percentiles by linear interpolation."""
-    q = F.expr(f"percentile({value}, array(0.25D, 0.5D, 0.75D, 0.9D))")
-    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("mean"), q.alias("q"))
+    """count, min, p25, p50, mean, p75, p90, max per group, percentiles by linear interpolation. Groups without values have a count of 0."""
+    out = df.select(*keys).distinct()
+    found = percentiles(df, keys, value, (0.25, 0.5, 0.75, 0.9))
+    found = found.select(*(F.col(k).alias(f"__{k}") for k in keys), "n", "lo", "hi", "mean", "p")
+    out = out.join(found, [out[k].eqNullSafe(found[f"__{k}"]) for k in keys], "left")
     r = lambda c: F.round(c, digits)
-    return out.select(*keys, "n", r("lo").alias("lo"), *(r(F.col("q")[i]).alias(p) for i, p in enumerate(("p25", "p50", "p75", "p90"))), r("mean").alias("mean"), r("hi").alias("hi"))
+    return out.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), r("lo").alias("lo"), *(r(F.col("p")[i]).alias(name) for i, name in enumerate(("p25", "p50", "p75", "p90"))), r("mean").alias("mean"), r("hi").alias("hi"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 25) -> DataFrame:
@@ -141,6 +175,14 @@ def frame_times(dets: DataFrame, frames: DataFrame, key: str = "frame_name") ->
     return dets.join(times, key, "left").withColumn("ts_ms", F.coalesce("__ts", F.lit(0))).drop("__ts")
 
 
+def timeline(dets: DataFrame, frames: DataFrame, source: str = "source", parent: str = "parent_path", label: str = "label") -> DataFrame:
+    """``dets`` with timestamp_ms, found by the source's name or else by the parent's file name (null if by neither), and the label cut to 60 characters."""
+    times = frames.groupBy("frame_name").agg(F.min("ts_ms").alias("__ts"))
+    by = lambda d, name, out: d.join(times.select(F.col("frame_name").alias("__name"), F.col("__ts").alias(out)), name == F.col("__name"), "left").drop("__name")
+    both = by(by(dets, F.col(source), "__own"), S.basename(parent), "__parent")
+    return both.withColumns({"timestamp_ms": F.coalesce("__own", "__parent"), label: F.substring(F.coalesce(label, F.lit("")), 1, 60)}).drop("__own", "__parent")
+
+
 def first_match(left: DataFrame, right: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
     """Left join with the first matching row of ``right``; missing numbers are 0."""
     one = right.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("__m"))
@@ -187,11 +229,12 @@ def hull_frame(df: DataFrame, group: str, x: str = "lon", y: str = "lat") -> Dat
 
 def coverage_outliers(df: DataFrame, lat: str = "lat", lon: str = "lon", limit: float = 0.15) -> DataFrame:
     """Points within ``limit`` degrees of the median on both axes; all points where there are under 6 or under 3 would stay."""
-    mid = df.agg(F.expr(f"percentile({lat}, 0.5D)").alias("a"), F.expr(f"percentile({lon}, 0.5D)").alias("b"), F.count("*").alias("n")).first()
-    if mid["n"] < 6:
-        return df
-    near = df.filter((F.abs(F.col(lat) - F.lit(mid["a"])) < limit) & (F.abs(F.col(lon) - F.lit(mid["b"])) < limit))
-    return near if near.count() >= 3 else df
+    middle = lambda c, name: percentiles(df, [], c, (0.5,)).select(F.col("n").alias(f"__n_{name}"), F.col("p")[0].alias(f"__{name}"))
+    mid = middle(lat, "a").join(middle(lon, "b"))  # one row
+    judged = df.join(F.broadcast(mid), how="left").withColumn("__near", (F.abs(F.col(lat) - F.col("__a")) < limit) & (F.abs(F.col(lon) - F.col("__b")) < limit))
+    stay = judged.agg(F.count_if("__near").alias("__stay"))  # one row
+    all_in = (F.col("__n_a") < 6) | (F.col("__stay") < 3)
+    return judged.join(F.broadcast(stay)).filter(F.coalesce("__near", F.lit(False)) | all_in).select(*df.columns)
 
 
 def recentre(df: DataFrame, group: list[str]) -> DataFrame:

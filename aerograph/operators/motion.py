@@ -1,19 +1,20 @@
 """The motion processor: blobs and frame poses of a stream to judged tracks, frame by frame.
 
-The order of frames decides every step, so a stream is one group; its state is the live tracks and
+The order of frames decides every step, so a stream is one forward pass; its state is the live tracks and
 their ground and camera positions. Streams run in parallel.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerograph.config import DEFAULT, Camera, Settings
+from aerograph.operators.sequences import by_key
 
 OUTPUT = "track_id long, hit_count long, first_frame long, last_frame long, confirmed boolean, suppressed boolean, suppressed_by string, spread_m double, height_m double, confidence double"
 
@@ -68,6 +69,18 @@ def spread(ground: np.ndarray, camera: np.ndarray, alt: np.ndarray, s: Settings)
     return closer if closer[0] < found[0] else found
 
 
+class Pose(NamedTuple):
+    frame_seq: int
+    lat: float
+    alt_m: float
+    pitch: float
+    yaw: float
+    dx: float
+    dy: float
+    img_w: float
+    img_h: float
+
+
 class Track:
     def __init__(self, number: int, frame: int, x: float, y: float):
         self.number, self.first, self.last, self.x, self.y = number, frame, frame, x, y
@@ -76,6 +89,9 @@ class Track:
         self.ground: list[tuple[float, float]] = []
         self.camera: list[tuple[float, float, float]] = []
 
+    def row(self) -> tuple:
+        return self.number, self.hits, self.first, self.last, self.confirmed, self.by is not None, self.by, self.spread, self.height, self.confidence
+
     def judge(self, s: Settings) -> None:
         n = len(self.ground)
         if self.by == "world_fixed" or n < s.wf_min_frames or (n - s.wf_min_frames) % s.wf_retest:
@@ -103,57 +119,78 @@ def associate(live: list[Track], blobs: list[tuple[float, float]], frame: int, r
     return free
 
 
-def process_stream(blobs: pd.DataFrame, frames: pd.DataFrame, s: Settings, max_range_m: float) -> list[Track]:
-    by_frame = {k: list(zip(g.cx, g.cy)) for k, g in blobs.sort_values("det_id").groupby("frame_seq")}
-    live: list[Track] = []
-    every: list[Track] = []
-    east = north = 0.0
-    anchored = False
-    for pose in frames.sort_values("frame_seq").itertuples(index=False):
+class Processor:
+    """State of one stream: live tracks with their ground and camera positions, and where the camera is."""
+
+    def __init__(self, s: Settings = DEFAULT, max_range_m: float = 0.0):
+        self.s, self.max_range_m = s, max_range_m
+        self.live: list[Track] = []
+        self.made, self.east, self.north, self.anchored = 0, 0.0, 0.0, False
+        self.pose, self.blobs = None, []
+
+    def read(self, row: tuple) -> list[tuple]:
+        """Take a pose or a blob, in order of frames, a frame's pose first; the tracks that the frame before retired."""
+        frame, is_pose, det_id, cx, cy, *pose = row
+        out = []
+        if is_pose:
+            out = self.close()
+            self.pose, self.blobs = Pose(frame, *pose), []
+        elif self.pose is not None and self.pose.frame_seq == frame:
+            self.blobs.append((cx, cy))
+        return out
+
+    def close(self) -> list[tuple]:
+        """Process the frame that is complete."""
+        if self.pose is None:
+            return []
+        s, pose = self.s, self.pose
         gsd = pose.alt_m * s.camera.sensor_w_mm / (s.camera.focal_mm * pose.img_w) if pose.alt_m > 0 else 0.05
-        east, north = east - pose.dx * gsd, north + pose.dy * gsd
+        self.east, self.north = self.east - pose.dx * gsd, self.north + pose.dy * gsd
         speed = math.hypot(pose.dx, pose.dy)
         persist = s.persist + min(int(max(0.0, speed - s.scene_speed) / s.scene_step), s.scene_extra)
-        for x, y in associate(live, by_frame.get(pose.frame_seq, []), pose.frame_seq, max(20.0, s.match_m / gsd)):
-            every.append(Track(len(every) + 1, pose.frame_seq, x, y))
-            live.append(every[-1])
-        live = [t for t in live if t.in_a_row < s.orphan_frames]
-        for t in live:
+        for x, y in associate(self.live, self.blobs, pose.frame_seq, max(20.0, s.match_m / gsd)):
+            self.made += 1
+            self.live.append(Track(self.made, pose.frame_seq, x, y))
+        gone = [t for t in self.live if t.in_a_row >= s.orphan_frames]
+        self.live = [t for t in self.live if t.in_a_row < s.orphan_frames]
+        for t in self.live:
             t.confirmed |= t.hits >= persist and t.last == pose.frame_seq
-        anchored |= pose.lat != 0 and pose.alt_m > 0
-        if not anchored or pose.alt_m <= 0:
-            continue
-        corners = footprint_offsets(pose, s.camera)
-        for t in live:
-            if len(t.ground) < t.hits:
-                u, v = t.x / pose.img_w, t.y / pose.img_h
-                weights = np.array([(1 - u) * (1 - v), u * (1 - v), u * v, (1 - u) * v])
-                e, n, up = pixel_ray(t.x, t.y, pose, s.camera)
-                far = max_range_m > 0 and speed > 1.0 and (up >= 0 or math.hypot(e, n) * pose.alt_m / -up > max_range_m)
-                if far:
-                    t.by = t.by or "range"
-                    continue
-                t.ground.append(tuple(weights @ corners + (east, north)))
-            if len(t.camera) < t.hits:
-                t.camera.append((east, north, pose.alt_m))
-            t.judge(s)
-    return every
+        self.anchored |= pose.lat != 0 and pose.alt_m > 0
+        if self.anchored and pose.alt_m > 0:
+            corners = footprint_offsets(pose, s.camera)
+            for t in self.live:
+                self.place(t, pose, corners, speed)
+        self.pose = None
+        return [t.row() for t in gone]
+
+    def place(self, t: Track, pose, corners: np.ndarray, speed: float) -> None:
+        """Add a new hit's ground and camera position, unless it is out of range, and judge the track."""
+        if len(t.ground) < t.hits:
+            u, v = t.x / pose.img_w, t.y / pose.img_h
+            weights = np.array([(1 - u) * (1 - v), u * (1 - v), u * v, (1 - u) * v])
+            e, n, up = pixel_ray(t.x, t.y, pose, self.s.camera)
+            if self.max_range_m > 0 and speed > 1.0 and (up >= 0 or math.hypot(e, n) * pose.alt_m / -up > self.max_range_m):
+                t.by = t.by or "range"
+                return
+            t.ground.append(tuple(weights @ corners + (self.east, self.north)))
+        if len(t.camera) < t.hits:
+            t.camera.append((self.east, self.north, pose.alt_m))
+        t.judge(self.s)
+
+    def finish(self) -> list[tuple]:
+        return self.close() + [t.row() for t in self.live]
 
 
 def motion_process(blobs: DataFrame, frames: DataFrame, key: str = "stream_id", settings: Settings = DEFAULT, max_range_m: float = 0.0) -> DataFrame:
     """Tracks of every stream with hits, confirmation, suppression (sticky once world-fixed), spread and confidence.
 
-    ``blobs``: key, frame_seq, det_id, cx, cy (px). ``frames``: key, frame_seq, lat, alt_m, pitch, yaw, dx, dy (px the
-    scene moved since the last frame), img_w, img_h. Frames without blobs count as misses.
+    ``blobs``: key, frame_seq, det_id, cx, cy (px). ``frames``: key, frame_seq (one row each), lat, alt_m, pitch, yaw, dx, dy (px the
+    scene moved since the last frame), img_w, img_h. Frames without blobs count as misses. A stream is one forward pass over its poses and
+    blobs; only its live tracks are in memory.
     """
-    kind = frames.schema[key].dataType.simpleString()
-
-    def run(part: pd.DataFrame, poses: pd.DataFrame) -> pd.DataFrame:
-        rows = [(t.number, t.hits, t.first, t.last, t.confirmed, t.by is not None, t.by, t.spread, t.height, t.confidence) for t in process_stream(part, poses, settings, max_range_m)]
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-        out.insert(0, key, poses[key].iloc[0] if len(poses) else part[key].iloc[0])
-        return out
-
-    # New column identities, since both sides may come from one relation.
-    poses = frames.select(*(F.col(c).alias(c) for c in (key, "frame_seq", "lat", "alt_m", "pitch", "yaw", "dx", "dy", "img_w", "img_h")))
-    return blobs.select(key, "frame_seq", "det_id", "cx", "cy").groupBy(key).cogroup(poses.groupBy(key)).applyInPandas(run, f"{key} {kind}, {OUTPUT}")
+    poses = ("lat", "alt_m", "pitch", "yaw", "dx", "dy", "img_w", "img_h")
+    number = lambda c: F.col(c).cast("double").alias(c)
+    seen = blobs.select(key, F.col("frame_seq").cast("long").alias("frame_seq"), F.lit(False).alias("is_pose"), F.col("det_id").cast("long").alias("det_id"), number("cx"), number("cy"), *(F.lit(0.0).alias(c) for c in poses))
+    held = frames.dropDuplicates([key, "frame_seq"]).select(key, F.col("frame_seq").cast("long").alias("frame_seq"), F.lit(True).alias("is_pose"), F.lit(-1).cast("long").alias("det_id"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"), *map(number, poses))
+    rows = seen.unionByName(held).withColumn("__order", F.when(F.col("is_pose"), 0).otherwise(1))
+    return by_key(rows, [key], ["frame_seq", "__order", "det_id"], OUTPUT, lambda: Processor(settings, max_range_m), lambda p, row: p.read(row[:-1]), lambda p: p.finish())

@@ -86,3 +86,21 @@ def floats_of(blob: str, dim: int) -> Column:
 def nested_report(df: DataFrame, outer: str, inner: str, value: Column) -> DataFrame:
     """outer, map of inner to value: one row per outer key."""
     return df.groupBy(outer).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(inner), value.alias("v"))))).alias("frames"))
+
+
+def numbered(df: DataFrame, group: str, order: list[str], out: str = "pos") -> DataFrame:
+    """``df`` with each row's place (from 1) in its group by ``order``.
+
+    Rows are dealt out by ranges of group and order and numbered in their range; the ranges' counts per group then shift them, so a group of any size
+    is numbered by many tasks. Each row's range is written with it, since ranges are drawn anew in every run.
+    """
+    from aerograph.scratch import cut
+
+    dealt = cut(df.repartitionByRange(group, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(group, "__part").agg(F.count("*").alias("__c"))
+    before = F.coalesce(F.sum("__c").over(W.partitionBy(group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), before.alias("__before"))
+    own = F.row_number().over(W.partitionBy("__part", group).orderBy(*order))
+    rows = dealt.withColumn("__own", own)
+    shifted = rows.join(starts, rows[group].eqNullSafe(starts["__g"]) & (F.col("__part") == F.col("__p")))
+    return shifted.withColumn(out, (F.col("__own") + F.col("__before")).cast("long")).select(*df.columns, out)

@@ -345,3 +345,73 @@ def metadata_tracks(spark, d):
     s = rel.read(spark, d, "supplier").select(F.col("s_suppkey").alias("video"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("stream_index"))
     k, i = F.col("video"), F.col("stream_index")
     return B.metadata_stream(s.withColumns({"codec_tag": F.when((k + i) % 3 == 0, "DJMD").otherwise("avc1"), "handler": F.when((k % 5 == 1) & (i == 2), "DJI meta").otherwise("VideoHandler")})).select("video", F.col("stream_index").cast("long").alias("stream_index"))
+
+
+@query(f"""WITH {rel.TELEMETRY}, t AS (SELECT * FROM telemetry WHERE stream_id < 60) SELECT stream_id, CAST(frame_seq - 1 AS INTEGER) AS idx, d AS dialect, round(lat, 6) AS lat, round(lon, 6) AS lon, round(alt_m, CASE d WHEN 'fpv' THEN 2 ELSE 3 END) AS alt_m, -90.0 AS pitch FROM t, (SELECT unnest(['plain', 'fpv']) AS d)""")
+def srt_dialects(spark, d):
+    """Files of the dialects without gimbal fields, written in parts and read back."""
+    from aerograph.sources import telemetry as TS
+
+    t = rel.telemetry(spark, d).filter("stream_id < 60").withColumn("t", (F.col("frame_seq") - 1) * 100)
+    out = None
+    for name, digits in (("plain", 3), ("fpv", 2)):
+        p = TS.parse_srt(TS.write_srt(t, "t", dialect=name, per_part=5))
+        p = p.select("stream_id", F.col("index").alias("idx"), F.lit(name).alias("dialect"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("alt_m", digits).alias("alt_m"), F.col("gimbal_pitch").alias("pitch"))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@query(f"""WITH {rel.BOXES}, f AS (SELECT 'frame_' || CAST(o_orderkey AS VARCHAR) || '.jpg' AS frame_name, min(o_orderkey * 1000) AS ts FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY ALL), x AS (SELECT det_id, label, CASE WHEN det_id % 4 = 0 THEN 'frame_' || CAST(det_id % 50 AS VARCHAR) || '.jpg' ELSE 'none' END AS source, parent_path || '.jpg' AS p FROM boxes)
+SELECT det_id, label, coalesce(a.ts, b.ts) AS timestamp_ms FROM x LEFT JOIN f a ON a.frame_name = x.source LEFT JOIN f b ON b.frame_name = x.p""")
+def timeline_records(spark, d):
+    """Times by the source's name, else by the parent's."""
+    from aerograph.operators import detections as D
+
+    o, n = rel.read(spark, d, "orders").filter("o_orderkey % 3 <> 0"), F.col("det_id")
+    frames = o.select(F.concat(F.lit("frame_"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("frame_name"), (F.col("o_orderkey") * 1000).alias("ts_ms"))
+    b = rel.boxes(spark, d).select("det_id", "label", F.when(n % 4 == 0, F.concat(F.lit("frame_"), (n % 50).cast("string"), F.lit(".jpg"))).otherwise("none").alias("source"), F.concat(F.lit("/data/"), "parent_path", F.lit(".jpg")).alias("parent_path"))
+    return D.timeline(b, frames).select("det_id", "label", "timestamp_ms")
+
+
+@query("SELECT p_partkey, ceil((p_partkey * 37 % 5000) / 512.0) * ceil((p_partkey * 91 % 3000) / 512.0) AS tiles, t_s, lat FROM (SELECT p_partkey, unnest([0.0, round(sqrt(pow(0.01 * 111320.0, 2) + pow(0.02 * 111320.0 * cos(radians(32.005)), 2)) / 8.0, 4)]) AS t_s, unnest([32.0, 32.01]) AS lat FROM part)")
+def tile_counts_and_diagonal(spark, d):
+    from aerograph.operators import geometry as O
+
+    p = rel.read(spark, d, "part").select("p_partkey", O.tile_count(F.col("p_partkey") * 37 % 5000, F.col("p_partkey") * 91 % 3000).cast("double").alias("tiles"), *(F.lit(v).alias(k) for k, v in (("south", 32.0), ("west", 34.8), ("north", 32.01), ("east", 34.82))))
+    return O.diagonal(p, 8.0).select("p_partkey", "tiles", F.round("t_s", 4).alias("t_s"), "lat")
+
+
+@query("""WITH t AS (SELECT s_suppkey AS id, 32.0 + (s_suppkey % 9) / 10000.0 AS lat0, 34.8 + (s_suppkey % 7) / 10000.0 AS lon0, CAST(s_suppkey * 40 % 360 AS DOUBLE) AS bearing, 1.0 + s_suppkey % 5 AS v, s_suppkey % 10 AS f0 FROM supplier), r AS (SELECT *, unnest(range(f0, f0 + 20)) AS frame FROM t),
+m AS (SELECT id, frame, lat0 + v * (frame - f0) / 2.0 * cos(radians(bearing)) / 111320.0 AS lat, lon0 + v * (frame - f0) / 2.0 * sin(radians(bearing)) / (111320.0 * cos(radians(lat0))) AS lon FROM r),
+p AS (SELECT *, floor(((lon - 34.8) * 111320.0 * cos(radians(32.0 + frame * 0.00001)) / 120.0 + 0.5) * 640) AS px, floor((0.5 - (lat - (32.0 + frame * 0.00001)) * 111320.0 / 90.0) * 480) AS py FROM m)
+SELECT id, frame, px >= 0 AND px < 640 AND py >= 0 AND py < 480 AS visible, round(lat, 7) AS lat, round(lon, 7) AS lon, CAST(px AS BIGINT) AS px, CAST(py AS BIGINT) AS py FROM p""")
+def ground_truth_records(spark, d):
+    from aerograph.operators import geometry as O
+
+    k = F.col("s_suppkey")
+    t = rel.read(spark, d, "supplier").select(k.alias("id"), (32.0 + k % 9 / 10000.0).alias("lat"), (34.8 + k % 7 / 10000.0).alias("lon"), (k * 40 % 360).cast("double").alias("bearing"), (1.0 + k % 5).alias("speed_ms"), (k % 10).alias("first_frame"), (k % 10 + 19).alias("last_frame"))
+    return O.ground_truth(t, camera_frames(spark), 2.0)
+
+
+def camera_frames(spark):
+    f = spark.range(40).withColumnRenamed("id", "frame")
+    return f.select("frame", (32.0 + F.col("frame") * 0.00001).alias("lat"), F.lit(34.8).alias("lon"), F.lit(120.0).alias("ground_w_m"), F.lit(90.0).alias("ground_h_m"))
+
+
+@query()
+def placed_targets(spark, d):
+    """Targets that a seeded search places in view."""
+    from aerograph.operators import geometry as O
+
+    k = F.col("s_suppkey")
+    t = rel.read(spark, d, "supplier").select(k.alias("id"), (k * 40 % 360).cast("double").alias("bearing"), (1.0 + k % 5).alias("speed_ms"), (k % 10).alias("first_frame"), (k % 10 + 19).alias("last_frame"))
+    return O.place_targets(t, camera_frames(spark), 2.0)
+
+
+@query(f"""WITH {rel.TELEMETRY} SELECT 'v/' || CAST(event_id AS VARCHAR) || '.jpg' AS full_path, round(lat, 6) AS lat, round(alt_m, 3) AS z, pitch AS gimbal_pitch, 1920 AS img_w_px FROM telemetry""")
+def pose_entries(spark, d):
+    from aerograph.sources import telemetry as TS
+
+    t = rel.telemetry(spark, d).select("event_id", "lat", "lon", "alt_m", F.col("pitch").alias("gimbal_pitch"), F.col("yaw").alias("gimbal_yaw"), F.lit(0.0).alias("gimbal_roll"), F.lit(0.0).alias("flight_yaw"))
+    p = TS.to_poses(t, F.concat(F.lit("v/"), F.col("event_id").cast("string"), F.lit(".jpg")), 1920, 1080)
+    return p.select("full_path", F.round("lat", 6).alias("lat"), F.round("z", 3).alias("z"), "gimbal_pitch", "img_w_px")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from aerograph.functions import geo as G
@@ -129,8 +128,7 @@ def difficulty_threshold(spark, d):
 @query(f"WITH {rel.BOXES} SELECT det_id, label, row_number() OVER (PARTITION BY label ORDER BY parent_path, det_id) AS pos FROM boxes")
 def image_order(spark, d):
     """Each image's place by name among those of its label."""
-    w = W.partitionBy("label").orderBy("parent_path", "det_id")
-    return rel.boxes(spark, d).select("det_id", "label", F.row_number().over(w).alias("pos"))
+    return X.numbered(rel.boxes(spark, d).select("det_id", "label", "parent_path"), "label", ["parent_path", "det_id"]).select("det_id", "label", "pos")
 
 
 @query(f"""WITH {rel.TELEMETRY}, s AS (SELECT event_id, alt_m * 6.3 / 4.5 AS w, alt_m * 4.7 / 4.5 AS h, lat, lon FROM telemetry)

@@ -8,6 +8,7 @@ and NULL texts give no rows or NULL fields, never an error.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from aerograph.functions import scalar as S
@@ -21,8 +22,8 @@ def load_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _number(text: Column, pattern: str, group: int = 1) -> Column:
-    found = F.regexp_extract(text, f"(?i){pattern}", group)
-    return F.when(found != "", found).try_cast("double")
+    """The number at a group of the first match; NULL where there is none."""
+    return F.regexp_extract(text, f"(?i){pattern}", group).try_cast("double")
 
 
 def srt_blocks(df: DataFrame, text: str = "text") -> DataFrame:
@@ -37,26 +38,34 @@ def srt_blocks(df: DataFrame, text: str = "text") -> DataFrame:
 def parse_srt(df: DataFrame, text: str = "text", rel_alt: bool = False) -> DataFrame:
     """Telemetry of the three bracket and FPV dialects; blocks without a position are dropped.
 
-    With ``rel_alt`` a relative altitude stands in for a missing one.
+    A block with an FPV position has its altitude from the height field alone, and any other one from its brackets. With
+    ``rel_alt`` a bracketed relative altitude stands in for a missing one.
     """
     rows, c = srt_blocks(df, text), F.col("content")
-    fpv = rf"GPS\s*\(\s*{NUMBER}\s*,\s*{NUMBER}"
-    field = lambda name: _number(c, rf"\[?{name}\s*:?\s*{NUMBER}")
-    alt = field("altitude")
-    if rel_alt:
-        alt = F.coalesce(alt, field("rel_alt"))
+    fpv = lambda i: _number(c, rf"GPS\s*\(\s*{NUMBER}\s*,\s*{NUMBER}", i)
+    field = lambda name: _number(c, rf"\[{name}\s*:\s*{NUMBER}")
+    gimbal = lambda name: _number(c, rf"[\[\s]{name}\s*:\s*{NUMBER}")  # angles may share one bracket
+    rows = rows.withColumns({"__a": fpv(1), "__b": fpv(2)})
+    flown = F.col("__a").isNotNull() & F.col("__b").isNotNull()
+    alt = F.coalesce(field("altitude"), field("rel_alt")) if rel_alt else field("altitude")
     rows = rows.withColumns(
         {
-            "lat": F.coalesce(_number(c, fpv, 1), field("latitude")),
-            "lon": F.coalesce(_number(c, fpv, 2), field("longitude")),
-            "alt_m": F.coalesce(_number(c, rf"\bH\s+{NUMBER}\s*m"), alt, F.lit(0.0)),
-            "gimbal_pitch": F.coalesce(field("gb_pitch"), F.lit(-90.0)),
-            "gimbal_yaw": F.coalesce(field("gb_yaw"), F.lit(0.0)),
-            "gimbal_roll": F.coalesce(field("gb_roll"), F.lit(0.0)),
+            "lat": F.when(flown, F.col("__a")).otherwise(field("latitude")),
+            "lon": F.when(flown, F.col("__b")).otherwise(field("longitude")),
+            "alt_m": F.coalesce(F.when(flown, _number(c, rf"(?:^|[,\s])H\s+{NUMBER}\s*m")).otherwise(alt), F.lit(0.0)),
+            "gimbal_pitch": F.coalesce(gimbal("gb_pitch"), F.lit(-90.0)),
+            "gimbal_yaw": F.coalesce(gimbal("gb_yaw"), F.lit(0.0)),
+            "gimbal_roll": F.coalesce(gimbal("gb_roll"), F.lit(0.0)),
             "flight_yaw": F.lit(0.0),
         }
     )
-    return rows.filter("lat IS NOT NULL AND lon IS NOT NULL").drop("content")
+    return rows.filter("lat IS NOT NULL AND lon IS NOT NULL").drop("content", "__a", "__b")
+
+
+def to_poses(df: DataFrame, path: str | Column, width: int, height: int) -> DataFrame:
+    """Telemetry rows as the entries of a pose file: full_path, lat, lon, z, gimbal angles, flight_yaw and the image's size."""
+    where = F.col(path) if isinstance(path, str) else path
+    return df.select(where.alias("full_path"), "lat", "lon", F.col("alt_m").alias("z"), "gimbal_pitch", "gimbal_yaw", "gimbal_roll", "flight_yaw", F.lit(width).alias("img_w_px"), F.lit(height).alias("img_h_px"))
 
 
 def parse_srt_json(df: DataFrame, text: str = "text") -> DataFrame:
@@ -111,16 +120,25 @@ def parse_objects(df: DataFrame, spec: str = "spec", radius: float = 1.0) -> Dat
     return rows.filter("lat IS NOT NULL AND lon IS NOT NULL AND colour <> ''").drop("__o", "__p")
 
 
-def write_srt(df: DataFrame, order: str = "timestamp_ms", key: str = "stream_id") -> DataFrame:
-    """(key, text): SRT files of the gimbal dialect, one per series."""
+#: The fields of the dialects, and the decimals of their numbers.
+DIALECTS = {
+    "plain": (("[latitude: ", "lat", 6, "]"), (" [longitude: ", "lon", 6, "]"), (" [altitude: ", "alt_m", 3, "]")),
+    "gimbal": (
+        ("[latitude: ", "lat", 6, "]"), (" [longitude: ", "lon", 6, "]"), (" [altitude: ", "alt_m", 3, "]"),
+        (" [gb_yaw: ", "gimbal_yaw", 1, "]"), (" [gb_pitch: ", "gimbal_pitch", 1, "]"), (" [gb_roll: ", "gimbal_roll", 1, "]"),
+    ),
+    "fpv": (("GPS (", "lat", 6, ""), (", ", "lon", 6, ", 0), D 0.00m"), (", H ", "alt_m", 2, "m, H.S 0.0m/s, V.S 0.00m/s")),
+}
+
+
+def write_srt(df: DataFrame, order: str = "timestamp_ms", key: str = "stream_id", dialect: str = "gimbal", per_part: int = 10_000) -> DataFrame:
+    """(key, part, text): SRT files of a dialect, ``per_part`` blocks each; blocks are numbered through a series."""
     number = lambda c, d: F.call_function("format_number", F.col(c), F.lit(f"0.{'0' * d}"))
-    line = F.concat(
-        F.lit("[latitude: "), number("lat", 6), F.lit("] [longitude: "), number("lon", 6), F.lit("] [altitude: "), number("alt_m", 3),
-        F.lit("] [gb_yaw: "), number("gimbal_yaw", 1), F.lit("] [gb_pitch: "), number("gimbal_pitch", 1), F.lit("] [gb_roll: "), number("gimbal_roll", 1), F.lit("]"),
-    )
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), line.alias("line")))).alias("b"))
-    block = lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n"), S.ms_timecode(x["t"]), F.lit(" --> "), S.ms_timecode(x["t"] + 100), F.lit("\n"), x["line"], F.lit("\n"))
-    return rows.select(key, F.array_join(F.transform("b", block), "\n").alias("text"))
+    line = F.concat(*(x for before, c, d, after in DIALECTS[dialect] for x in (F.lit(before), number(c, d), F.lit(after))))
+    rows = df.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(order)))
+    block = F.concat(F.col("__n").cast("string"), F.lit("\n"), S.ms_timecode(order), F.lit(" --> "), S.ms_timecode(F.col(order) + 100), F.lit("\n"), line, F.lit("\n"))
+    parts = rows.select(key, F.floor((F.col("__n") - 1) / per_part).alias("part"), F.struct("__n", block.alias("text")).alias("b"))
+    return parts.groupBy(key, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["text"]), "\n").alias("text"))
 
 
 def world_file(df: DataFrame, text: str = "text", width: int = 1000, height: int = 1000) -> DataFrame:

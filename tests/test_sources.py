@@ -1,3 +1,5 @@
+import pytest
+from pyspark.sql import functions as F
 from aerograph.functions import models
 from aerograph.sources import protobuf as P
 from aerograph.sources import telemetry as T
@@ -102,7 +104,147 @@ def test_vocabulary_and_segments(spark):
 
     v = models.Vocabulary(backend)
     assert v("Beach", "x") == v("beach", "X") == {"expected": ["sand"], "anomaly": ["x"]} and len(calls) == 1
-    assert v("bad", "x")["expected"][0] == "ground"
-    assert v.frame(spark, "beach", "x").count() == 3
+    assert v("bad", "x")["expected"][0] == "bad"
+    assert v.frame(spark, "beach", "x").count() == 2
     models.register("regions", lambda: lambda f: [{"box": (0, 0, 30, 30), "area": a, "frame_area": 10_000} for a in (100, 900, 9000)])
     assert [r.area for r in models.segment(spark.createDataFrame([("f",)], "f string"), "f", "regions").collect()] == [900.0]
+
+
+def test_srt_dialects_stay_apart(spark):
+    text = "\n\n".join(f"{i + 1}\n00:00:0{i},000 --> 00:00:0{i},100\n{line}" for i, line in enumerate((
+        "GPS (32.5, 34.5, 0), D 1.0m [altitude: 70.0]", "GPS (32.5, 34.5, 0), H.S 3.0m/s, H 41.5m", "latitude: 31.0 longitude: 35.0", "[latitude: 31.0] [longitude: 35.0] [altitude: 9.5] H 3m")))
+    rows = T.parse_srt(spark.createDataFrame([(text,)], "text string")).orderBy("timestamp_ms").collect()
+    assert [(r.lat, r.alt_m) for r in rows] == [(32.5, 0.0), (32.5, 41.5), (31.0, 9.5)]
+
+
+def test_packets(spark):
+    import struct
+
+    from aerograph.sources import protobuf as B
+
+    f32 = lambda n, v: B.encode_varint(n << 3 | 5) + struct.pack("<f", v)
+    gps = lambda alt: B.encode([(4, B.encode([(1, B.encode([(2, 0.5), (3, 0.25)]))])), (5, alt)])
+    packet = lambda alt: B.encode([(3, B.encode([(1, B.encode([(1, 7)])), (3, gps(alt)), (4, B.encode([(3, B.encode([(1, 1799), (3, 20)]))]))]))])
+    no_fix = B.encode([(3, B.encode([(1, B.encode([(1, 1)]))]))])
+    chunks = [packet(f32(1, 55.0)), no_fix, packet(f32(1, -3.0)), packet(f32(1, 60_000.0)), packet(B.encode([(2, 45_000)]))]
+    raw, sizes = b"".join(chunks), [len(c) for c in chunks]
+    rows = [("a", "DJI dvtm_WM265E", raw, sizes, [0.0, 0.1, 0.2, 0.3, 0.4]), ("b", "dvtm_other", raw, sizes, [0.0] * 5), ("c", None, raw[:-1], sizes, [0.0] * 5), ("d", "x", None, None, None), ("e", "x", b"", [], [])]
+    got = B.packet_stream(spark.createDataFrame(rows, "video string, handler string, raw binary, sizes array<int>, pts_s array<double>")).collect()
+    alt = lambda v: [(r.frame_idx, r.alt_m) for r in sorted(got, key=lambda r: r.frame_idx) if r.video == v]
+    assert alt("a") == [(0, 55.0), (2, 80.0), (3, 60_000.0), (4, 80.0)]  # a known layout is trusted
+    assert alt("b") == [(0, 55.0), (2, 80.0), (3, 60.0), (4, 80.0)]  # looked for once
+    assert alt("c") == [(0, 55.0), (2, 80.0), (3, 60.0)] and not alt("d") and not alt("e")
+    first = next(r for r in got if r.video == "a")
+    assert round(first.lat, 6) == 28.647890 and first.timestamp_ms == 0 and first.gimbal_pitch == -90.0 and first.gimbal_yaw == 1.0
+    assert B.probe_altitude(chunks[4]) == 45.0 and B.probe_altitude(b"") is None
+
+
+def test_policies():
+    from aerograph.functions import models
+
+    class Busy(Exception):
+        status = 429
+
+    waits, left = [], [Busy(), Busy(), Busy()]
+
+    def call(x):
+        if left:
+            raise left.pop()
+        return x
+
+    assert models.with_retries(call, 5, sleep=waits.append) == 5 and waits == [2.0, 4.0, 8.0]
+    left[:] = [Busy()] * 4
+    with pytest.raises(Busy):
+        models.with_retries(call, 5, sleep=waits.append)
+    left[:] = [ValueError("no")]
+    with pytest.raises(ValueError):
+        models.with_retries(call, 5, sleep=waits.append)
+    import time
+
+    assert models.within(0.3, [lambda: 1, lambda: time.sleep(1.0), lambda: 1 / 0]) == [1, None, None]
+    assert models.Vocabulary()("Field", "Crate") == {"expected": ["Field", "aerial view of Field", "normal"], "anomaly": ["Crate", "aerial view of Crate", "anomaly", "unusual"]}
+
+
+def test_movers_are_judged_in_batches(spark):
+    from aerograph.functions import models
+
+    sizes = []
+    models.register("counting", lambda: lambda shot, rows: [{"index": i, "confirmed": len(rows) <= 25, "confidence": 0.5, "reason": f"{shot} {len(rows)}"} for i in range(len(rows))])
+    movers = spark.createDataFrame([(1, i, 100 + i) for i in range(60)] + [(2, 99, 5)], "s long, track_id long, last_frame long")
+    snaps = spark.createDataFrame([(1, 90), (1, 180)], "s long, snap long")
+    got = models.judge_movers(movers, snaps, "s", "counting").collect()
+    assert len(got) == 60 and all(r.confirmed for r in got)  # a series without snapshots is not judged
+    assert {(r.snap, r.vlm_reason) for r in got} == {(90, "1/90 25"), (90, "1/90 11"), (180, "1/180 24")} and not sizes
+
+
+def test_store_and_catalogue(spark, tmp_path):
+    from aerograph.operators import catalog as C
+    from aerograph.operators import store as ST
+
+    segments = spark.createDataFrame([("a", 1, 2.0), ("a", 0, 1.0), ("b", 0, 3.0)], "frame_path string, seg_idx int, area double")
+    assert ST.insert_segments(f"{tmp_path}/s", segments.limit(0)) == 0 and ST.insert_segments(f"{tmp_path}/s", segments) == 3
+    known = spark.read.parquet(f"{tmp_path}/s")
+    assert [r.area for r in ST.segments_of(known, "a").collect()] == [1.0, 2.0]
+    asked = spark.createDataFrame([("a",), ("c",), ("a",)], "frame_path string")
+    assert {r.frame_path: [s.area for s in r.segments] for r in ST.segments_for(asked, known).collect()} == {"a": [1.0, 2.0], "c": []}
+    ST.save_json(spark.createDataFrame([("x", None, "u"), (None, 2, "u")], "track_id string, n long, img_urls string"), f"{tmp_path}/j")
+    assert [tuple(r) for r in ST.load_json(spark, f"{tmp_path}/j", "track_id string, n long", ("track_id",)).collect()] == [("x", None)]
+
+    c = C.Catalog(spark, f"file://{tmp_path}/cat")
+    for i, name in enumerate(("one", "two")):
+        c.create(name, name)
+        c.activate(name, i + 1)
+    assert c.last_active() == "two" and c.get("one").count() == 1 and [r.id for r in c.every().collect()] == ["two", "one"]
+    c.update_counts("one", "ready", 5, 7)
+    row = c.get("one").first()
+    assert (row.status, row.frame_count, row.tile_count, row.segment_count) == ("ready", 5, 7, 0)
+    c.update_counts("one", "analysed")
+    assert c.get("one").first().frame_count == 5
+    wiped = f"file://{tmp_path}/s"
+    with pytest.raises(ValueError):
+        c.delete("two", "other", wiped)
+    assert c.delete("two", "two", wiped) == "one" and c.last_active() == "one" and not (tmp_path / "s").exists()
+    assert c.archive("one") is None and c.last_active() is None
+    keyed = spark.createDataFrame([(None, 1), ("a", 2)], "k string, v long")
+    assert sorted(map(str, C.replace_rows(keyed, keyed.withColumn("v", F.lit(9)), ["k"]).collect())) == ["Row(k='a', v=9)", "Row(k=None, v=9)"]
+    assert C.replace_rows(keyed, keyed, ["k"], ignore=True).count() == 2
+
+
+def test_percentiles_and_numbers(spark):
+    import random
+
+    import numpy as np
+
+    from aerograph.operators import detections as D
+    from aerograph.operators import records as X
+
+    rng = random.Random(3)
+    rows = [(k, v) for k, n in (("a", 900), ("b", 1), ("c", 7), (None, 40)) for v in [rng.choice([rng.gauss(0, 1), 0.5, 1e6 if k == "a" else 2.0]) for _ in range(n)]] + [("d", None), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    shares = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = {r.k: r for r in D.percentiles(df, ["k"], "v", shares, bins=16).collect()}
+    for k in ("a", "b", "c", None):
+        own = [v for g, v in rows if g == k and v is not None]
+        assert got[k].n == len(own) and np.allclose(got[k].p, np.quantile(own, shares), rtol=1e-12, atol=1e-12)
+    assert "d" not in got and D.describe(df, ["k"], "v").filter("k = 'd'").first().n == 0
+    few = spark.createDataFrame([(float(i), 0.0) for i in range(5)] + [(500.0, 0.0)], "lat double, lon double")
+    assert D.coverage_outliers(few, limit=2.6).count() == 5 and D.coverage_outliers(few, limit=0.1).count() == 6 and D.coverage_outliers(few.limit(5), limit=0.1).count() == 5
+    many = spark.range(2000).selectExpr("id % 3 AS g", "(id * 7919) % 1009 AS o", "id")
+    ranks = {r.id: r.pos for r in X.numbered(many, "g", ["o", "id"]).collect()}
+    for g in range(3):
+        own = sorted(((i * 7919) % 1009, i) for i in range(2000) if i % 3 == g)
+        assert [ranks[i] for _, i in own] == list(range(1, len(own) + 1))
+
+
+def test_placed_targets_are_seen(spark):
+    from aerograph.operators import geometry as O
+    from aerograph.plans.pipeline_queries import camera_frames
+
+    targets = spark.createDataFrame([(i, 40.0 * i, 2.0, 0, 30) for i in range(6)] + [(9, 0.0, 900.0, 0, 3)], "id long, bearing double, speed_ms double, first_frame long, last_frame long")
+    cam = camera_frames(spark)
+    placed = O.place_targets(targets, cam, 2.0)
+    rows = {r.id: r for r in placed.collect()}
+    assert all(rows[i].placed for i in range(6)) and not rows[9].placed and (rows[9].lat, rows[9].lon) == (32.0, 34.8)
+    assert sorted(map(str, placed.collect())) == sorted(map(str, O.place_targets(targets, cam, 2.0).collect()))
+    seen = O.ground_truth(placed, cam, 2.0).filter("visible").groupBy("id").count()
+    assert all(r["count"] >= 5 for r in seen.filter("id < 6").collect()) and seen.filter("id < 6").count() == 6
