@@ -77,3 +77,22 @@ def test_wand_finds_all():
                 for k, w in zip(*block.get(t, ((), ()))):
                     full[k] = full.get(k, 0) + w
         assert sorted(k for k, s in c.search(terms)) == sorted(k for k, s in full.items() if s >= D.ALPHA - 1e-9)
+
+
+def test_long_texts(spark):
+    item = "which of these rivers runs through the old town and under nine stone bridges. the quiet one"
+    texts = [" " * 1_000_000, "a" * 1_000_000, "river " * 200_000, "x " * 100_000 + item + " y" * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, None), (9, "z" * 100_000)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in D.leaks(docs, bench).collect()] == [(3, 7)]
+    assert sorted(r.doc_id for r in D.drop_leaks(docs, bench).collect()) == [0, 1, 2]
+
+
+def test_several_passes(spark, monkeypatch):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(20)) + ".") for i in range(6)]
+    docs = spark.createDataFrame([(i, "intro words " + t + " more words") for i, t in items[:4]] + [(99, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(str, D.leaks(docs, bench).collect()))
+    monkeypatch.setattr(D, "MAX_ITEMS", 2)
+    assert len(D.indexes(bench)) == 3 and len(D.leaks(docs, bench).collect()) == len(whole) == 4
+    assert [r.doc_id for r in D.drop_leaks(docs, bench).collect()] == [99]

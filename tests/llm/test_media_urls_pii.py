@@ -210,3 +210,15 @@ def test_key_frame_times():
     movie = media.write_media(bytes(64 * 40))
     keys = media.describe(movie)["tracks"][0]["keyframes"]
     assert [k["time"] for k in keys] == [0, 16 * 64, 32 * 64]
+
+
+def test_long_inputs(spark):
+    texts = [" " * 1_000_000, "a" * 1_000_000, "1" * 1_000_000, "@" * 300_000, "+1 " * 300_000, "1.2.3.4 " * 100_000, "token = " + "x1" * 50 + " end"]
+    rows = docs(spark, [(i, t, "x", 0) for i, t in enumerate(texts)])
+    assert [r.payload_bytes for r in media.digest(rows).orderBy("doc_id").collect()] == [-(-len(t) // 64) * 64 for t in texts]
+    found = {r.doc_id: r for r in pii.find_spans(rows).collect()}
+    assert [found[i].n_ip for i in range(7)] == [0, 0, 0, 0, 0, 100_000, 0] and found[6].spans == "account:8:108"
+    long = ["http://a.org/" + "x/" * 200_000, "http://" + "a." * 200_000 + "com/de/", "casino/" * 100_000, "://" * 100_000]
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(long)], "page_id long, url string, host string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.url_verdicts(df).collect()}
+    assert got == {0: ("org/", "allow"), 1: ("com/de/", "block"), 2: (None, "block"), 3: (None, "allow")}
