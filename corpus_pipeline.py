@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerograph.llm import decontam, dedup, mixing, pii, toxicity
-from aerograph.llm.common import cut, table
+from aerograph.llm.common import table
+from aerograph.scratch import remove, write
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The mix; every stage's table is removed once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = write(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            remove(spark, before)
+        before = path
     return docs
