@@ -205,3 +205,72 @@ def segment(df: DataFrame, frame: str, backend: str, min_area: int = 400, max_sh
             yield pd.DataFrame(rows, columns=[frame, "x1", "y1", "x2", "y2", "area"])
 
     return df.select(frame).mapInPandas(run, f"{frame} {kind}, x1 double, y1 double, x2 double, y2 double, area double")
+
+
+def box_masks(df: DataFrame, tile: str, backend: str) -> DataFrame:
+    """``df`` with mask_inside and mask_area (pixels) of each box, from a backend that is asked at the box's centre; null where it gives no mask.
+
+    The backend takes a tile and a point, and gives a 0/1 array of the tile's size.
+    """
+    import numpy as np
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    factory = REGISTRY[backend]
+    schema = StructType([*df.schema.fields, StructField("mask_inside", LongType()), StructField("mask_area", LongType())])
+
+    def run(parts):
+        model = factory()
+        for pdf in parts:
+            inside, area = [], []
+            for t, x1, y1, x2, y2 in zip(pdf[tile], pdf.x1, pdf.y1, pdf.x2, pdf.y2):
+                try:
+                    mask = np.asarray(model(t, (int(x1 + x2) // 2, int(y1 + y2) // 2))) > 0
+                    inside.append(int(mask[int(y1) : int(y2), int(x1) : int(x2)].sum()))
+                    area.append(int(mask.sum()))
+                except Exception:  # noqa: BLE001  as above
+                    inside, area = inside[: len(area)] + [None], area + [None]
+            yield pdf.assign(mask_inside=pd.array(inside, "Int64"), mask_area=pd.array(area, "Int64"))
+
+    return df.mapInPandas(run, schema)
+
+
+def ground_views(df: DataFrame, tile: str, query: str, backend: str, attempts: int = 3, wait: float = 2.0, sleep: Callable[[float], None] | None = None) -> DataFrame:
+    """tile, report, targets (label, confidence, box) of each view, each asked for itself; a reply that is no answer (ValueError) is asked for again.
+
+    report is null and targets are empty where a view holds nothing; both are null where the backend failed.
+    """
+    factory, kind = REGISTRY[backend], df.schema[tile].dataType.simpleString()
+
+    def ask(model, t):
+        import time
+
+        for k in range(attempts):
+            try:
+                return model(t, query)
+            except ValueError:
+                if k < attempts - 1:
+                    (sleep or time.sleep)(wait)
+            except Exception:  # noqa: BLE001  as above
+                break
+        return None
+
+    def run(parts):
+        model = factory()
+        for pdf in parts:
+            made = [ask(model, t) for t in pdf[tile]]
+            targets = [None if r is None else [{"label": x.get("label"), "confidence": float(x.get("confidence", 0.0)), "box": [float(v) for v in x.get("bbox", [])]} for x in r.get("targets", [])] for r in made]
+            yield pd.DataFrame({tile: pdf[tile], "report": [r.get("report") if r and r.get("targets") else None for r in made], "targets": targets})
+
+    return df.select(tile).mapInPandas(run, f"{tile} {kind}, report string, targets array<struct<label:string,confidence:double,box:array<double>>>")
+
+
+def merged_views(views: DataFrame, tile: str) -> DataFrame:
+    """One row: report (of the views that hold something, in order of name), targets of all, and a summary."""
+    from pyspark.sql import functions as F
+
+    hit, empty = F.size("targets") > 0, F.size("targets") == 0
+    line = F.concat(F.element_at(F.split(tile, "/"), -1), F.lit(": "), F.coalesce("report", F.lit("")))
+    rows = views.agg(F.count_if(hit).alias("hits"), F.count_if(empty).alias("misses"), F.array_sort(F.collect_list(F.when(hit, F.struct(line.alias("line"), F.col("targets").alias("t"))))).alias("v"))
+    summary = F.concat(F.col("hits").cast("string"), F.lit(" tiles with detections, "), F.col("misses").cast("string"), F.lit(" tiles confirmed empty"))
+    report = F.when(F.col("hits") > 0, F.array_join(F.col("v.line"), " | ")).otherwise(F.concat(F.lit("No detections found. "), summary))
+    return rows.select(report.alias("report"), F.flatten("v.t").alias("targets"), summary.alias("summary"))

@@ -105,3 +105,17 @@ def cells_of(df: DataFrame, lat_cols: list[str], lon_cols: list[str], cell_m: fl
     ok = (r1 - r0 + 1 <= most) & (c1 - c0 + 1 <= most)
     pairs = F.flatten(F.transform(F.sequence(r0, r1), lambda r: F.transform(F.sequence(c0, c1), lambda c: F.struct(r.alias("r"), c.alias("c")))))
     return df.withColumn("cells", F.when(ok, pairs))
+
+
+def auto_params(df: DataFrame, alt: str = "alt_m", width: str = "img_w", fastest: str | None = None, fps: int = 10, cross_s: float = 20.0, least_frames: int = 30) -> DataFrame:
+    """``df`` with fps, speed_ms, gsd_cm_px, fp_w_m and fp_h_m for one straight pass that crosses a view in ``cross_s`` seconds.
+
+    Slower where a target (``fastest``: its speed) that comes head-on would be in view for under ``least_frames`` frames, but not below half a metre a second.
+    """
+    w, h = G.ground_size(alt)
+    speed = w / cross_s
+    if fastest is not None:
+        toward = F.coalesce(F.col(fastest), F.lit(0.0))
+        slow = F.greatest(F.lit(0.5), w / (least_frames / fps) - toward)
+        speed = F.when(F.col(fastest).isNotNull() & (w / (speed + toward) * fps < least_frames), slow).otherwise(speed)
+    return df.withColumns({"fps": F.lit(fps), "speed_ms": F.round(speed, 2), "gsd_cm_px": F.round(w / F.col(width) * 100, 2), "fp_w_m": F.round(w, 1), "fp_h_m": F.round(h, 1)})

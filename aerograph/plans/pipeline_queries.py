@@ -415,3 +415,13 @@ def pose_entries(spark, d):
     t = rel.telemetry(spark, d).select("event_id", "lat", "lon", "alt_m", F.col("pitch").alias("gimbal_pitch"), F.col("yaw").alias("gimbal_yaw"), F.lit(0.0).alias("gimbal_roll"), F.lit(0.0).alias("flight_yaw"))
     p = TS.to_poses(t, F.concat(F.lit("v/"), F.col("event_id").cast("string"), F.lit(".jpg")), 1920, 1080)
     return p.select("full_path", F.round("lat", 6).alias("lat"), F.round("z", 3).alias("z"), "gimbal_pitch", "img_w_px")
+
+
+@query("""WITH t AS (SELECT event_id, 40 + CAST(event_id % 997 AS DOUBLE) * CAST(0.1373719 AS DOUBLE) AS alt_m FROM events), w AS (SELECT event_id, alt_m * 6.3 / 4.5 AS w, alt_m * 4.7 / 4.5 AS h, CAST(event_id % 40 AS DOUBLE) AS v FROM t)
+SELECT event_id, round(CASE WHEN w / (w / 20.0 + v) * 10 < 30 THEN greatest(0.5, w / 3.0 - v) ELSE w / 20.0 END, 2) AS speed_ms, round(w, 1) AS fp_w_m, round(h, 1) AS fp_h_m FROM w""")
+def flight_parameters(spark, d):
+    from aerograph.operators import geometry as O
+
+    e = rel.read(spark, d, "events")
+    t = e.select("event_id", (40 + (F.col("event_id") % 997).cast("double") * 0.1373719).alias("alt_m"), F.lit(1920).alias("img_w"), (F.col("event_id") % 40).cast("double").alias("v"))
+    return O.auto_params(t, fastest="v").select("event_id", "speed_ms", "fp_w_m", "fp_h_m")

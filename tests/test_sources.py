@@ -248,3 +248,67 @@ def test_placed_targets_are_seen(spark):
     assert sorted(map(str, placed.collect())) == sorted(map(str, O.place_targets(targets, cam, 2.0).collect()))
     seen = O.ground_truth(placed, cam, 2.0).filter("visible").groupBy("id").count()
     assert all(r["count"] >= 5 for r in seen.filter("id < 6").collect()) and seen.filter("id < 6").count() == 6
+
+
+def exif_bytes(order="<", ref=b"S", alt=(8250, 100)):
+    """A made-up image head: a main directory with a GPS one."""
+    import struct
+
+    p = lambda kind, *v: struct.pack(order + kind, *v)
+    gps_at, values = 8 + 2 + 12 * 3 + 4, 8 + 2 + 12 * 3 + 4 + 2 + 12 * 5 + 4
+    main = p("H", 3) + p("HHII", 0x0100, 4, 1, 4032) + p("HHII", 0x0101, 4, 1, 3024) + p("HHII", 0x8825, 4, 1, gps_at) + p("I", 0)
+    gps = p("H", 5) + p("HHI", 1, 2, 2) + ref + b"\0\0\0" + p("HHII", 2, 5, 3, values) + p("HHI", 3, 2, 2) + b"E\0\0\0" + p("HHII", 4, 5, 3, values + 24) + p("HHII", 6, 5, 1, values + 48) + p("I", 0)
+    rationals = p("6I", 32, 1, 30, 1, 36, 1) + p("6I", 34, 1, 45, 1, 0, 1) + p("2I", *alt)
+    return b"\xff\xd8\xff\xe1\0\0Exif\0\0" + (b"II" if order == "<" else b"MM") + p("HI", 42, 8) + main + gps + rationals
+
+
+def test_exif(spark):
+    from aerograph.sources import exif
+
+    for order in "<>":
+        got = exif.read_exif(exif_bytes(order))
+        assert (round(got["lat"], 6), round(got["lon"], 6), got["alt_m"], got["img_w_px"], got["img_h_px"]) == (-32.51, 34.75, 82.5, 4032, 3024)
+    assert exif.read_exif(None)["lat"] is None and exif.read_exif(b"Exif\0\0XX")["lat"] is None and exif.read_exif(exif_bytes()[:40])["lat"] is None
+    xmp = b'<x drone:RelativeAltitude="+40.5" drone:GimbalYawDegree="12.5"/>'
+    rows = [("a", exif_bytes()), ("b", exif_bytes(ref=b"N") + xmp), ("c", None), ("d", exif_bytes() + xmp.replace(b"+40.5", b"+0.0"))]
+    got = {r.full_path: r for r in exif.parse_image(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert [(k, r.z, r.gimbal_yaw, r.img_w_px) for k, r in sorted(got.items())] == [("a", 82.5, 0.0, 4032), ("b", 40.5, 12.5, 4032), ("c", 0.0, 0.0, 4000), ("d", 82.5, 12.5, 4032)]
+    assert round(got["b"].lat, 6) == 32.51 and got["c"].lat is None
+
+
+def test_masks_and_views(spark):
+    import numpy as np
+
+    from aerograph.functions import models
+
+    def masker():
+        def mask(tile, point):
+            if tile == "none":
+                raise RuntimeError
+            out = np.zeros((20, 20))
+            out[point[1] - 2 : point[1] + 2, point[0] - 2 : point[0] + 6] = 1
+            return out
+
+        return mask
+
+    models.register("masker", masker)
+    df = spark.createDataFrame([("t", 5.0, 5.0, 9.0, 9.0), ("none", 0.0, 0.0, 4.0, 4.0)], "tile string, x1 double, y1 double, x2 double, y2 double")
+    assert [(r.mask_inside, r.mask_area) for r in models.box_masks(df, "tile", "masker").orderBy(F.desc("tile")).collect()] == [(16, 32), (None, None)]
+
+    def viewer():
+        tries = {}
+
+        def view(tile, query):
+            tries[tile] = tries.get(tile, 0) + 1
+            if tile == "d/late" and tries[tile] < 3 or tile == "d/never":
+                raise ValueError("no JSON")
+            return {"report": f"a {query}", "targets": [{"label": query, "bbox": [1, 2, 3, 4], "confidence": 0.5}] if tile != "d/void" else []}
+
+        return view
+
+    models.register("viewer", viewer)
+    tiles = spark.createDataFrame([("d/a",), ("d/late",), ("d/never",), ("d/void",)], "tile string").coalesce(1)
+    views = models.ground_views(tiles, "tile", "car", "viewer", sleep=lambda s: None)
+    one = models.merged_views(views, "tile").first()
+    assert one.report == "a: a car | late: a car" and len(one.targets) == 2 and one.summary == "2 tiles with detections, 1 tiles confirmed empty"
+    assert models.merged_views(views.limit(0), "tile").first().report == "No detections found. 0 tiles with detections, 0 tiles confirmed empty"
