@@ -69,3 +69,25 @@ EARTH_RADIUS_M = 6_371_000.0
 M_PER_DEG = 111_320.0
 DIFFICULTY_THRESHOLD = {"easy": 0.30, "medium": 0.20, "hard": 0.03}
 DEFAULT = Settings()
+
+#: What a recording generator assumes where its settings say nothing.
+GENERATOR = {"fps": 10, "alt_m": 80.0, "pattern": "lanes", "overlap": 0.6, "out_w": 640, "out_h": 480, "seed": 0, "targets": []}
+
+
+def load_generator(path: str, defaults: dict = GENERATOR) -> dict:
+    """Generator settings from a JSON or (where a reader is installed) YAML file on the driver, over the defaults; unknown keys are an error."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith((".yml", ".yaml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("no YAML reader is installed; use JSON") from e
+        given = yaml.safe_load(text) or {}
+    else:
+        given = json.loads(text or "{}")
+    if unknown := set(given) - set(defaults):
+        raise ValueError(f"unknown settings: {sorted(unknown)}")
+    return defaults | given

@@ -104,3 +104,13 @@ def numbered(df: DataFrame, group: str, order: list[str], out: str = "pos") -> D
     rows = dealt.withColumn("__own", own)
     shifted = rows.join(starts, rows[group].eqNullSafe(starts["__g"]) & (F.col("__part") == F.col("__p")))
     return shifted.withColumn(out, (F.col("__own") + F.col("__before")).cast("long")).select(*df.columns, out)
+
+
+def settled(files: DataFrame, folder: str, modified: str, now, grace_ms: int | None = 7000) -> DataFrame:
+    """Files of which a writer without renames is surely done: all of a folder but the newest, and that one too once it is older than ``grace_ms`` (never for None)."""
+    newest = files.groupBy(F.col(folder).alias("__f")).agg(F.max(modified).alias("__top"))
+    rows = files.join(newest, files[folder].eqNullSafe(newest["__f"]))
+    done = F.col(modified) < F.col("__top")
+    if grace_ms is not None:
+        done = done | (F.lit(now) - F.col(modified) > grace_ms)
+    return rows.filter(done).select(*files.columns)

@@ -425,3 +425,12 @@ def flight_parameters(spark, d):
     e = rel.read(spark, d, "events")
     t = e.select("event_id", (40 + (F.col("event_id") % 997).cast("double") * 0.1373719).alias("alt_m"), F.lit(1920).alias("img_w"), (F.col("event_id") % 40).cast("double").alias("v"))
     return O.auto_params(t, fastest="v").select("event_id", "speed_ms", "fp_w_m", "fp_h_m")
+
+
+@query("""WITH f AS (SELECT event_id, user_id AS folder, event_id * 500 AS modified FROM events), m AS (SELECT folder, max(modified) AS top FROM f GROUP BY folder)
+SELECT event_id FROM f JOIN m USING (folder) WHERE modified < top OR 4000000 - modified > 7000""")
+def settled_files(spark, d):
+    from aerograph.operators import records as X
+
+    f = rel.read(spark, d, "events").select("event_id", F.col("user_id").alias("folder"), (F.col("event_id") * 500).alias("modified"))
+    return X.settled(f, "folder", "modified", 4_000_000).select("event_id")

@@ -180,3 +180,21 @@ def test_merge_detections_of_the_whole_table(spark):
     df = spark.createDataFrame(rows, "det_id long, frame_seq long, lat double, lon double, conf double")
     got = sorted((r.instance_id, r.det_id, r.is_multiangle) for r in D.merge_detections(df).collect())
     assert got == want
+
+
+def test_generator_settings(tmp_path):
+    from aerograph import config
+
+    (tmp_path / "a.json").write_text('{"fps": 25, "targets": [{"id": 1}]}')
+    assert config.load_generator(str(tmp_path / "a.json")) == config.GENERATOR | {"fps": 25, "targets": [{"id": 1}]}
+    (tmp_path / "b.json").write_text('{"speed": 1}')
+    with pytest.raises(ValueError):
+        config.load_generator(str(tmp_path / "b.json"))
+
+
+def test_settled_files(spark):
+    from aerograph.operators import records as X
+
+    files = spark.createDataFrame([("a", 1, 100), ("a", 2, 900), ("b", 3, 950), (None, 4, 10)], "folder string, id long, at long")
+    ids = lambda *args: sorted(r.id for r in X.settled(files, "folder", "at", 1000, *args).collect())
+    assert ids(80) == [1, 2, 4] and ids(None) == [1]
