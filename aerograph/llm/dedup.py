@@ -326,6 +326,7 @@ def candidate_groups(classes: DataFrame, percent: int, cut: Callable) -> tuple[D
 
     # Lists of three members or more that these pairs leave in parts. Lists with the same members are compared once.
     open_lists = kept.join(hubs.filter("members > 2").select("value").hint("merge"), "value").join(groups, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("known"), F.least("n", F.lit(K)).alias("held"))
+    open_lists = cut(open_lists, "open-lists")  # so that the sums per list start map-side, and a hot list's join can be split
     several = open_lists.groupBy("value").agg(F.min("known").alias("x"), F.max("known").alias("y"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("h"), F.min("node").alias("m")).filter("x <> y")
     several = several.groupBy("c", "h", "m").agg(F.min("value").alias("value")).select("value")
     members = cut(open_lists.join(several.hint("merge"), "value"), "open")
