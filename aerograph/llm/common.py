@@ -38,6 +38,19 @@ class Shared:
         return self.made
 
 
+def release() -> None:
+    """Give memory that is free back to the system; a worker that waits for its next task would else keep it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of the batches of ROWS rows and about BYTES bytes at most (or of one row), so that what a worker holds is bounded."""
     for batch in batches:
@@ -46,6 +59,7 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = min(ROWS, max(1, BYTES * batch.num_rows // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, each):
             yield batch.slice(at, each)
+    release()
 
 
 def blobs(column: pa.Array) -> list[bytes]:
