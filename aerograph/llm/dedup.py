@@ -317,6 +317,7 @@ def candidate_groups(classes: DataFrame, percent: int, cut: Callable) -> tuple[D
     kept = cut(per.withColumn("prefix", prefix).filter("prefix > 0").select("node", "n", "weight", F.explode(F.slice("shared", F.lit(1), F.col("prefix"))["value"]).alias("value")), "prefix")
     # Merge joins by value, which split a value that very many classes retain. The most central member is the hub of most of its lists, so that a group has few pairs more than members.
     hubs = kept.groupBy("value").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("hub"), F.count("*").alias("members")).filter("members > 1")
+    hubs = cut(hubs, "hubs")
     pairs = kept.join(hubs.hint("merge"), "value").filter("node <> hub.node AND 100 * least(n, hub.n) >= {0} * greatest(n, hub.n)".format(percent))
     pairs = pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
     for end in ("a", "b"):
