@@ -331,7 +331,7 @@ def candidate_groups(classes: DataFrame, percent: int, cut: Callable) -> tuple[D
     several = open_lists.groupBy("value").agg(F.min("known").alias("x"), F.max("known").alias("y"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("h"), F.min("node").alias("m")).filter("x <> y")
     several = several.groupBy("c", "h", "m").agg(F.min("value").alias("value")).select("value")
     members = cut(open_lists.join(several.hint("merge"), "value"), "open")
-    runs = members.join(parted(members, "value").hint("merge"), "value").join(classes.select("node", "sketch"), "node").withColumns({"piece": F.lit(0), "vals": F.col("sketch")}).drop("sketch")
+    runs = members.join(cut(parted(members, "value"), "open-units").hint("merge"), "value").join(classes.select("node", "sketch"), "node").withColumns({"piece": F.lit(0), "vals": F.col("sketch")}).drop("sketch")
     more = cut(by_run(facing(runs), ["value", "i", "j"], percent, False).distinct(), "near-more")
     return near.unionByName(more), extended(groups, more, "groups", cut)
 
@@ -356,7 +356,7 @@ def class_links(docs: DataFrame, key: str, text: str, width: int, percent: int,
 
     members = groups.select("node", F.col("root").alias("grp")).join(roots, "node", "left").join(sizes, "node")
     members = cut(members.select("grp", "node", "n", F.coalesce("root", "node").alias("known")), "members")
-    runs = members.join(parted(members.withColumn("held", F.col("n")), "grp").hint("merge"), "grp").join(sets, "node")
+    runs = members.join(cut(parted(members.withColumn("held", F.col("n")), "grp"), "open-units").hint("merge"), "grp").join(sets, "node")
     more = cut(by_run(facing(runs), ["grp", "i", "j"], percent, True), "links-more")
     return rows.select("rid", "doc_id", "node", "n"), extended(roots, more, "parts", cut)
 
