@@ -184,20 +184,24 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return lgamma(a + 0.5) + lgamma(b + 0.5) - np.log(np.pi) - lgamma(a + b + 1.0)
 
 
-def weigh(n0: np.ndarray, n1: np.ndarray, kids: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(KT probability of a one, share of the weight, log of the weighted probability) of nodes; ``kids``: log product of the children's."""
+def weigh(n0: np.ndarray, n1: np.ndarray, kids: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(KT probabilities of a zero and of a one, share of the weight, log of the weighted probability) of nodes; ``kids``: log product of the children's.
+
+    Both probabilities are kept: beyond 2 ** 24 equal bits the likelier one rounds to 1, and the other is not 0.
+    """
     own = log_kt(n0, n1)
     weighted = own if kids is None else np.logaddexp(own, kids) - np.log(2)
     share = np.ones(len(own)) if kids is None else np.exp(own - np.log(2) - weighted)
-    return ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32), np.minimum(share, 1).astype(np.float32), weighted
+    p0, p1 = (((n + 0.5) / (n0 + n1 + 1)).astype(np.float32) for n in (n0, n1))
+    return p0, p1, np.minimum(share, 1).astype(np.float32), weighted
 
 
 class Tree:
-    """Sorted node keys, KT probability of a one, and share of the weight, by depth and bit."""
+    """Sorted node keys, KT probabilities of a zero and of a one, and share of the weight, by depth and bit."""
 
     def __init__(self, runs: list[tuple[np.ndarray, np.ndarray]], least: int = 0):
         """runs[d]: (keys ascending: d context bytes and the byte, counts), used from depth ``least``."""
-        self.levels: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in runs]
+        self.levels: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in runs]
         self.edge: list[tuple] = []  # by bit: the nodes of the least depth, their counts, and the log of their weighted probability
         for bit in range(8):
             below = None
@@ -221,36 +225,34 @@ class Tree:
                     kids = np.bincount(at, logs[known], size).astype(float)
                     rest0, rest1 = n0 - np.bincount(at, c0[known], size), n1 - np.bincount(at, c1[known], size)
                     kids += log_kt(np.maximum(rest0, 0), np.maximum(rest1, 0))  # contexts left out of ``runs``, as one child
-                p, share, weighted = weigh(n0, n1, kids)
-                self.levels[depth].append((node, p, share))
+                p0, p1, share, weighted = weigh(n0, n1, kids)
+                self.levels[depth].append((node, p0, p1, share))
                 below = (node, n0, n1, weighted)
             self.edge.append(below)
 
     def mixed(self, keys: np.ndarray, bit: int, q: np.ndarray) -> np.ndarray:
-        """Chance that a bit of the byte is one, for byte runs; ``q``: the chance under deeper contexts, NaN where none was seen."""
+        """Chance of a bit of the byte as it is, for byte runs; ``q``: the chance under deeper contexts, NaN where none was seen."""
         byte = keys & np.uint64(255)
+        one = (byte >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
         for depth in range(len(self.levels) - 1, -1, -1):
             if not self.levels[depth] or not len(self.levels[depth][bit][0]):
                 continue
-            node, p, share = self.levels[depth][bit]
+            node, p0, p1, share = self.levels[depth][bit]
             wanted = keys >> np.uint64(8 * (DEPTH + 1 - depth)) << U8 | np.uint64(1 << bit) | byte >> np.uint64(8 - bit)
             at = np.minimum(np.searchsorted(node, wanted), len(node) - 1)
             hit = node[at] == wanted
-            a, w = p[at], share[at]
+            a, w = np.where(one, p1[at], p0[at]), share[at]
             q = np.where(hit, np.where(np.isnan(q), a, w * a + (1 - w) * q), q)
         return q
 
     def log10(self, keys: np.ndarray, deeper: np.ndarray | None = None) -> np.ndarray:
         """log10 P(byte | context) of byte runs; ``deeper``: a column of ``q`` for each bit."""
-        out, byte = np.zeros(len(keys)), keys & np.uint64(255)
+        out = np.zeros(len(keys))
         for bit in range(8):
             q = self.mixed(keys, bit, np.full(len(keys), np.nan) if deeper is None else deeper[:, bit].astype(float))
-            q = np.where(np.isnan(q), 0.5, q)
-            one = (byte >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
-            out += np.log10(np.where(one, q, 1 - q))
+            out += np.log10(np.minimum(np.where(np.isnan(q), 0.5, q), 1))  # shares are rounded, so a sum can exceed 1
         return out
 
-
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """log10 P(byte | context) of byte runs, in units."""
         return fixed(self.log10(keys))
@@ -263,11 +265,11 @@ class Top(Tree):
         """Nodes of one context byte (ascending, of all bits), their counts, and the log product of their children's weighted probabilities."""
         self.levels = [[], []]
         for depth in (1, 0):
-            p, share, weighted = weigh(n0, n1, kids)
+            p0, p1, share, weighted = weigh(n0, n1, kids)
             number = node & np.uint64(255)
             for bit in range(8):
                 own = number >> np.uint64(bit) == 1
-                self.levels[depth].append((node[own], p[own], share[own]))
+                self.levels[depth].append((node[own], p0[own], p1[own], share[own]))
             node, at = np.unique(number, return_inverse=True)
             n0, n1, kids = (np.bincount(at, x, len(node)).astype(float) for x in (n0, n1, weighted))
 
@@ -297,7 +299,7 @@ def subtree(keys: np.ndarray, n: np.ndarray, total: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(made, names=[x.split()[0] for x in SUBTREES.split(", ")])
 
 
-#: kind 0: a byte run, its total, and its bits' chances (float32) under contexts of LEAST bytes and more; kind 1: a node of LEAST - 1 bytes, parts of its sums.
+#: kind 0: a byte run, its total, and its own bits' chances (float32) under contexts of LEAST bytes and more; kind 1: a node of LEAST - 1 bytes, parts of its sums.
 SUBTREES = "kind int, key long, total long, n0 long, n1 long, logs long, q binary"
 
 

@@ -135,3 +135,17 @@ def test_long_texts(spark):
     texts = ["a" * 1_000_000, " " * 1_000_000, "ab " * 200_000, "x"]
     got = {r.doc_id: r for r in C.language_model_scores(spark.createDataFrame([(i, t, 0.0, "x") for i, t in enumerate(texts)], SCHEMA)).collect()}
     assert [got[i].n_tokens for i in range(4)] == [2, 1, 200_001, 2] and all(r.score < 0 for r in got.values())
+
+
+def test_bits_that_tens_of_millions_of_equal_ones_speak_against(spark):
+    """The chance of the likelier bit rounds to 1 there; that of the other one must not become 0, whose logarithm overflowed the sums."""
+    n = 40_000_000
+    keys, _ = C.run_keys([b"a" * 6, b"a" * 5 + b"["])
+    rows = [(int(keys[5]), n, n), (int(keys[-2]), 0, 3)]
+    runs = spark.createDataFrame(rows, "key long, n long, total long")
+    with C.Scratch(spark) as cut:
+        got = {r.key: r.value / C.UNIT for r in C.run_scores(runs, cut).collect()}
+    assert -0.001 < got[rows[0][0]] <= 0
+    # Bit 32 is a zero in the second run alone, and no byte was seen after it there: five bits of a half each.
+    want = math.log10(0.5 / (n + 1)) + 5 * math.log10(0.5)
+    assert abs(got[rows[1][0]] - want) < 0.001
