@@ -62,12 +62,42 @@ def merge_angles(df: DataFrame, group: str, threshold_m: float = DEFAULT.merge_m
     return best.withColumn("is_multiangle", F.count("*").over(w) > 1).drop("rn")
 
 
+#: Rounds in which seeds are found side by side; rows that wait for longer chains are decided by one pass.
+ROUNDS = 12
+
+
+def first_in_reach(left: DataFrame) -> DataFrame:
+    """b: the seeds among open rows, by one forward pass over their pairs (a, a_conf, b: a row before a in reach); memory holds the ids that are none."""
+    import pandas as pd
+
+    def run(parts):
+        dropped, now, seed = set(), None, True
+        for pdf in parts:
+            found = []
+            for a, b in zip(pdf.a, pdf.b):
+                if a != now:
+                    if now is not None:
+                        found.append(now) if seed else dropped.add(now)
+                    now, seed = a, True
+                seed = seed and b in dropped
+            yield pd.DataFrame({"b": pd.Series(found, dtype="int64")})
+        if now is not None and seed:
+            yield pd.DataFrame({"b": pd.Series([now], dtype="int64")})
+
+    kind = left.schema["b"].dataType
+    ends = left.select("b").join(left.select(F.col("a").alias("b")).hint("merge"), "b", "left_anti").distinct()  # nothing is before these
+    rows = left.select(F.col("a").cast("long"), "a_conf", F.col("b").cast("long")).repartition(1).sortWithinPartitions(F.desc("a_conf"), "a")
+    return ends.unionByName(rows.select("a", "b").mapInPandas(run, "b long").select(F.col("b").cast(kind)))
+
+
 def merge_detections(df: DataFrame, threshold_m: float = DEFAULT.merge_m, most: int = DEFAULT.max_angles) -> DataFrame:
     """Geo clusters over the whole table, by the rule of ``merge_angles``; instance_id is the seed's det_id (det_id is unique).
 
     Pairs within the threshold come from an equi-join on cells of that size in space. Seeds are found in rounds: an undecided
-    row with no undecided row before it in reach is one, and decides the rows in its reach; so no group is one task.
-    Rows without a place are instances of their own.
+    row with no undecided row before it in reach is one, and decides the rows in its reach; so no group is one task. What is
+    undecided after ROUNDS rounds (long chains of falling confidence) is decided by one forward pass. No table is sent to the
+    driver: the joins are merge joins, since a table's size on disk says little of its rows. Rows without a place are
+    instances of their own.
     """
     from aerograph.scratch import cut
 
@@ -79,20 +109,26 @@ def merge_detections(df: DataFrame, threshold_m: float = DEFAULT.merge_m, most:
     b = rows.select(F.col("det_id").alias("b"), F.col("conf").alias("b_conf"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), *(F.col(k).alias(f"b_{k}") for k in x))
     for k in x:
         b = b.withColumn("__s", step).withColumn(f"b_{k}", F.col(f"b_{k}") + F.col("__s")).drop("__s")
-    met = rows.join(b, [F.col(k) == F.col(f"b_{k}") for k in x])
+    met = rows.join(b.hint("merge"), [F.col(k) == F.col(f"b_{k}") for k in x])
     first = (F.col("b_conf") > F.col("conf")) | (F.col("b_conf") == F.col("conf")) & (F.col("b") < F.col("det_id"))
-    pairs = cut(met.filter(first & (G.haversine_m("b_lat", "b_lon", "lat", "lon") <= threshold_m)).select(F.col("det_id").alias("a"), "b", "b_conf"), "near-pairs")
-    left, seeds = pairs.select("a", "b"), rows.select(F.col("det_id").alias("b")).join(pairs.select(F.col("a").alias("b")), "b", "left_anti")
+    pairs = cut(met.filter(first & (G.haversine_m("b_lat", "b_lon", "lat", "lon") <= threshold_m)).select(F.col("det_id").alias("a"), F.col("conf").alias("a_conf"), "b", "b_conf"), "near-pairs")
+    merged = lambda x, y, on, how="inner": x.join(y.hint("merge"), on, how)
+    left, seeds = pairs.select("a", "a_conf", "b"), merged(rows.select(F.col("det_id").alias("b")), pairs.select(F.col("a").alias("b")), "b", "left_anti")
     new = seeds
-    while not left.isEmpty():
-        out = cut(left.join(new, "b", "left_semi").select("a").distinct(), "decided")
-        rest = left.join(out, "a", "left_anti")  # pairs of rows still open, with all rows before them
-        rest = cut(rest.join(out.withColumnRenamed("a", "b"), "b", "left_anti"), "open-pairs")
-        open_rows = left.select("a").distinct().join(out, "a", "left_anti")
-        new = cut(open_rows.join(rest.select("a"), "a", "left_anti").withColumnRenamed("a", "b"), "seeds")
+    for _ in range(ROUNDS):
+        if left.isEmpty():
+            break
+        out = cut(merged(left, new, "b", "left_semi").select("a").distinct(), "decided")
+        rest = merged(left, out, "a", "left_anti")  # pairs of rows still open, with all rows before them
+        rest = cut(merged(rest, out.withColumnRenamed("a", "b"), "b", "left_anti"), "open-pairs")
+        open_rows = merged(left.select("a").distinct(), out, "a", "left_anti")
+        new = cut(merged(open_rows, rest.select("a"), "a", "left_anti").withColumnRenamed("a", "b"), "seeds")
         left, seeds = rest, seeds.unionByName(new)
-    seed = pairs.join(seeds, "b", "left_semi").groupBy(F.col("a").alias("det_id")).agg(F.max_by("b", F.struct("b_conf", -F.col("b"))).alias("seed"))
-    made = rows.join(seed, "det_id", "left").select(F.coalesce("seed", "det_id").alias("instance_id"), "det_id", "conf", "frame_seq")
+    else:
+        if not left.isEmpty():
+            seeds = seeds.unionByName(cut(first_in_reach(left), "seeds")).distinct()
+    seed = merged(pairs, seeds, "b", "left_semi").groupBy(F.col("a").alias("det_id")).agg(F.max_by("b", F.struct("b_conf", -F.col("b"))).alias("seed"))
+    made = merged(rows, seed, "det_id", "left").select(F.coalesce("seed", "det_id").alias("instance_id"), "det_id", "conf", "frame_seq")
     best = made.withColumn("rn", F.row_number().over(W.partitionBy("instance_id", "frame_seq").orderBy(F.desc("conf"), "det_id"))).filter("rn = 1")
     w = W.partitionBy("instance_id")
     best = best.withColumn("rn", F.row_number().over(w.orderBy(F.desc("conf"), "det_id"))).filter(F.col("rn") <= most)

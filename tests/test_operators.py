@@ -182,6 +182,28 @@ def test_merge_detections_of_the_whole_table(spark):
     assert got == want
 
 
+def test_merge_detections_sends_no_table_to_the_driver(spark):
+    rows = [(i, i // 3, 32.0 + 0.00001 * (i // 3), 34.8 + 0.0005 * (i % 3), i * 7 % 50 / 50) for i in range(240)]
+    df = spark.createDataFrame(rows, "det_id long, frame_seq long, lat double, lon double, conf double")
+    out = D.merge_detections(df)
+    assert out.count() and "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("rounds", [12, 2, 0])
+def test_merge_detections_of_a_long_chain(spark, monkeypatch, rounds):
+    """With equal confidences each row waits for the one before it; the rounds are bounded all the same."""
+    from aerograph import scratch
+
+    n, written, write = 300, [], scratch.cut
+    monkeypatch.setattr(scratch, "cut", lambda df, label: (written.append(label), write(df, label))[1])
+    monkeypatch.setattr(D, "ROUNDS", rounds, raising=False)
+    rows = [(i, i, 32.0 + 0.00001 * i, 34.8, 0.5) for i in range(n)]  # 1.1 m apart
+    df = spark.createDataFrame(rows, "det_id long, frame_seq long, lat double, lon double, conf double")
+    got = sorted((r.instance_id, r.det_id) for r in D.merge_detections(df).collect())
+    assert got == [(i - i % 3, i) for i in range(n)]
+    assert len(written) <= 2 + 3 * rounds + 1
+
+
 def test_generator_settings(tmp_path):
     from aerograph import config
 
