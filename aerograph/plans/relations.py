@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,6 +11,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def millis(ts: str) -> Column:
+    """Milliseconds of a time, by the rule of ``epoch_ms``: rounded, halves away from 0."""
+    return F.expr(f"round(unix_micros(cast({ts} AS timestamp)), -3) div 1000")
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     x1, y1 = (F.col("event_id") * 7919) % 560, (F.col("event_id") * 104729) % 400
@@ -46,7 +51,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         "event_id", F.col("user_id").alias("stream_id"), F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("frame_seq"),
         (F.lit(32.0) + F.lit(0.00001) * (n % 997)).alias("lat"), (F.lit(34.8) + F.lit(0.00001) * (n % 991)).alias("lon"), (F.lit(40.0) + F.col("value") / 5).alias("alt_m"),
-        (F.lit(-90.0) + n % 60).alias("pitch"), ((n * 37) % 360).cast("double").alias("yaw"), F.expr("unix_millis(cast(ts AS timestamp))").alias("ts_ms"), "event_type", "value",
+        (F.lit(-90.0) + n % 60).alias("pitch"), ((n * 37) % 360).cast("double").alias("yaw"), millis("ts").alias("ts_ms"), "event_type", "value",
     )
 
 

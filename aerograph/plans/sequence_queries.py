@@ -153,7 +153,7 @@ def waypoint_interpolate(spark, d):
 
 @query("""WITH e AS (SELECT *, epoch_ms(ts) AS ms FROM events) SELECT event_id, event_type FROM e WHERE abs(ms - (SELECT min(ms) FROM e) - 1209600000) <= 3600000""")
 def timeline_interval(spark, d):
-    e = rel.read(spark, d, "events").withColumn("ms", F.expr("unix_millis(cast(ts AS timestamp))"))
+    e = rel.read(spark, d, "events").withColumn("ms", rel.millis("ts"))
     start = e.agg(F.min("ms")).first()[0]
     at = (start or 0) + 1_209_600_000
     return e.filter(F.col("ms").between(at - 3_600_000, at + 3_600_000)).select("event_id", "event_type")

@@ -40,6 +40,22 @@ def test_query(spark, con, name):
         assert rows
 
 
+def agree(spark, name, folder, events):
+    """A query and its SQL give the same rows, compared as they are, on such events (event_id, ts, user_id, event_type, value)."""
+    duckdb.connect().execute(f"COPY ({events}) TO '{folder}/events.parquet' (FORMAT parquet)")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    df = catalogue.queries()[name](spark, str(folder))
+    want = c.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
+    plain = lambda rows: sorted([tuple(float(v) if type(v).__name__ == "Decimal" else v for v in r) for r in rows], key=str)
+    assert want and plain(map(tuple, df.collect())) == plain(want)
+
+
+def test_times_are_rounded_to_milliseconds(spark, tmp_path):
+    at = "TIMESTAMP '1969-12-31 23:59:50' + to_microseconds(i * 1234567 + (i % 3) * 500)"
+    agree(spark, "ground_speed", tmp_path, f"SELECT i AS event_id, {at} AS ts, i % 2 AS user_id, 'view' AS event_type, 1.0 AS value FROM range(40) t(i)")
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["label", "n", "lo", "p25", "p50", "p75", "p90", "mean", "hi"] and df.count() > 0
