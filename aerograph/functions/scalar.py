@@ -196,12 +196,21 @@ def fill_ratio(inside, x1, y1, x2, y2) -> Column:
     return col(inside) / F.greatest(F.lit(1), (col(x2) - col(x1)) * (col(y2) - col(y1)))
 
 
-def confidence_ramp(c) -> Column:
-    """struct<r, g, b> (0 to 255): the hue runs from red at 0 over yellow at a half to green at 1."""
-    c = clamp(c, 0.0, 1.0)
-    return F.struct(
+def rounded(x, digits: int) -> Column:
+    """Rounds halves of the scaled number away from 0, as DuckDB does; ``round`` goes by the shortest decimal that stands for the number."""
+    return F.round(col(x) * 10.0**digits) / 10.0**digits
+
+
+def confidence_ramp(c, clamped: bool = True) -> Column:
+    """struct<r, g, b> (0 to 255): the hue runs from red at 0 over yellow at a half to green at 1.
+
+    Confidences beyond 0 and 1 count as these; if not ``clamped``, the falling side runs on below 0. An unknown confidence has no colour.
+    """
+    known = col(c).isNotNull()
+    c = clamp(c, 0.0, 1.0) if clamped else col(c)
+    return F.when(known, F.struct(
         F.round(255 * F.least(F.lit(1.0), 2 * (1 - c))).cast("int").alias("r"), F.round(255 * F.least(F.lit(1.0), 2 * c)).cast("int").alias("g"), F.lit(0).alias("b")
-    )
+    ))
 
 
 def label_text(label, size: int = 60) -> Column:

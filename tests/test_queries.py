@@ -42,7 +42,7 @@ def test_query(spark, con, name):
 
 def agree(spark, name, folder, events):
     """A query and its SQL give the same rows, compared as they are, on such events (event_id, ts, user_id, event_type, value)."""
-    duckdb.connect().execute(f"COPY ({events}) TO '{folder}/events.parquet' (FORMAT parquet)")
+    duckdb.connect().execute(f"COPY (SELECT * REPLACE (CAST(value AS DOUBLE) AS value) FROM ({events})) TO '{folder}/events.parquet' (FORMAT parquet)")
     c = duckdb.connect()
     c.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
     df = catalogue.queries()[name](spark, str(folder))
@@ -56,6 +56,19 @@ def test_times_are_rounded_to_milliseconds(spark, tmp_path):
     agree(spark, "ground_speed", tmp_path, f"SELECT i AS event_id, {at} AS ts, i % 2 AS user_id, 'view' AS event_type, 1.0 AS value FROM range(40) t(i)")
 
 
+def test_record_fields_beyond_the_ramp_and_at_halves(spark, tmp_path):
+    some = "SELECT i AS event_id, TIMESTAMP '2024-01-01' AS ts, i % 1500 AS user_id, 'view' AS event_type, CASE WHEN i % 7 > 0 THEN (i % 600) * 1.0 END AS value FROM range(20000) t(i)"
+    agree(spark, "record_fields", tmp_path, some + " UNION ALL SELECT 646, TIMESTAMP '2024-01-01', 1088, 'view', 560.21")
+
+
+def test_the_ramp_is_clamped_unless_asked_otherwise(spark):
+    from aerograph.functions import scalar as S
+
+    df = spark.createDataFrame([(1.12,), (-0.5,), (0.75,), (None,)], "c double")
+    assert [r[0] and r[0][:2] for r in df.select(S.confidence_ramp("c")).collect()] == [(0, 255), (255, 0), (128, 255), None]
+    assert [r[0] for r in df.select(S.confidence_ramp("c", clamped=False)["r"]).collect()] == [-61, 255, 128, None]
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["label", "n", "lo", "p25", "p50", "p75", "p90", "mean", "hi"] and df.count() > 0
