@@ -141,17 +141,21 @@ def write_srt(df: DataFrame, order: str = "timestamp_ms", key: str = "stream_id"
     return parts.groupBy(key, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["text"]), "\n").alias("text"))
 
 
-def world_file(df: DataFrame, text: str = "text", width: int = 1000, height: int = 1000) -> DataFrame:
-    """Bounds of a world file's image in degrees; Web-Mercator values are recognised by their size."""
+def world_file(df: DataFrame, text: str = "text", width: int = 1000, height: int = 1000, mercator: bool | None = None) -> DataFrame:
+    """Bounds of a world file's image in degrees.
+
+    A world file does not name its projection: ``mercator`` says whether the values are Web-Mercator metres; if it is None, they are
+    recognised by their size, so degrees of longitude that run on beyond 180 need False.
+    """
     from aerograph.functions import geo as G
 
     v = F.transform(F.split(F.trim(text), r"\s+"), lambda x: x.try_cast("double"))
     at = lambda i: F.get(v, F.lit(i))
     west, north = at(4) - at(0) / 2, at(5) - at(3) / 2
     east, south = west + at(0) * width, north + at(3) * height
-    mercator = (F.abs(west) > 180) | (F.abs(north) > 90)
+    metres = (F.abs(west) > 180) | (F.abs(north) > 90) if mercator is None else F.lit(mercator)
     (lat_n, lon_w), (lat_s, lon_e) = G.inverse_web_mercator(west, north), G.inverse_web_mercator(east, south)
-    pick = lambda a, b: F.when(mercator, a).otherwise(b)
+    pick = lambda a, b: F.when(metres, a).otherwise(b)
     return df.withColumns({"north": pick(lat_n, north), "south": pick(lat_s, south), "west": pick(lon_w, west), "east": pick(lon_e, east)})
 
 

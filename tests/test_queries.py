@@ -69,6 +69,10 @@ def test_the_ramp_is_clamped_unless_asked_otherwise(spark):
     assert [r[0] for r in df.select(S.confidence_ramp("c", clamped=False)["r"]).collect()] == [-61, 255, 128, None]
 
 
+def test_world_files_of_degrees_beyond_180(spark, tmp_path):
+    agree(spark, "world_file_bounds", tmp_path, "SELECT i * 61 AS event_id, TIMESTAMP '2024-01-01' AS ts, i AS user_id, 'view' AS event_type, 1.0 AS value FROM range(-5000, 10000) t(i)")
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["label", "n", "lo", "p25", "p50", "p75", "p90", "mean", "hi"] and df.count() > 0

@@ -58,6 +58,12 @@ def test_json_sources(spark):
     assert [(x.lat, x.lon, x.alt_m, x.gimbal_pitch) for x in e] == [(1, 2, 7.5, -90.0)]
 
 
+def test_world_file_of_a_known_projection(spark):
+    df = spark.createDataFrame([("0.001\n0\n0\n-0.001\n200.0005\n9.9995",)], "text string")
+    at = lambda how: [round(x, 6) for x in T.world_file(df, mercator=how).select("north", "west").first()]
+    assert at(False) == [10.0, 200.0] and at(True) == at(None) and at(True)[0] < 0.001
+
+
 def test_world_file(spark):
     r = T.world_file(spark.createDataFrame([("1\n0\n0\n-1\n3896182.5\n3763309.5",)], "text string"), width=100, height=100).first()
     assert 31 < r.south < r.north < 33 and 34 < r.west < r.east < 36
